@@ -41,3 +41,10 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def parts(df: DataFrame, size: int, least: int = 8, most: int = 1 << 16) -> int:
+    """Parts of about ``size`` bytes for the input files of ``df``, as its plan knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return int(min(max(least, total // size), most))
