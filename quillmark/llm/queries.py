@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, packing
+from . import lm_scoring, packing, quality_rules
 from .shared import tokenizer_file
 
 
@@ -24,7 +24,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_lm_score": op2_lm_score,
+    "op7_quality": op7_quality,
 }
