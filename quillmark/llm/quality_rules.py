@@ -9,8 +9,9 @@ whole words keep the model's size bounded by the alphabet instead of the
 vocabulary.
 
 A document is rejected by ``base_failed`` (fewer than ``min_words`` words, or
-more than a fifth of its words in repeated 5-word windows) or because its bits
-per byte leave the band of its language.  The band is the language's median, less
+more than a fifth of its words in repeated 5-word windows), because it has more
+than one symbol of ``#*$%&|<>`` for ten words, or because its bits per byte leave
+the band of its language.  The band is the language's median, less
 or more some multiples of the distance to its lower or upper decile, and is wider
 for short texts.
 
@@ -41,8 +42,10 @@ ORDER = 5
 #: A task sends its counts when it holds so many grams.
 FLUSH = 1_000_000
 MIN_WORDS = 10
+#: Symbols for each word beyond which a text counts as markup or a table.
+MAX_SYMBOLS = 0.1
 #: Multiples of the distance from median to decile that bound the band.
-LOW, HIGH = 4.0, 4.0
+LOW, HIGH = 8.0, 12.0
 #: Bytes of text at which a band is a tenth wider than for very long texts.
 SHORT = 200.0
 
@@ -260,9 +263,42 @@ def within(bits: Column, n_bytes: Column, q0: Column, q1: Column, q2: Column, lo
     return (bits >= q1 - low * F.greatest(q1 - q0, floor) * wider) & (bits <= q1 + high * F.greatest(q2 - q1, floor) * wider)
 
 
+def passes() -> Column:
+    """The verdict, where the measures stand beside the band (q0, q1, q2) of the language."""
+    ok = within(*(F.col(c) for c in ("bits", "n_bytes", "q0", "q1", "q2")))
+    return ~F.col("base_failed") & (F.col("n_symbols") <= MAX_SYMBOLS * F.col("n_words")) & F.coalesce(ok, F.lit(True))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    Texts are measured once for the bands and once more where they are judged,
+    so that they need not move between tasks; only the bands are joined.
+    """
+    model = train(docs)
+    b = bands(measure(docs, model))
+    limits = {r["lang"]: (r["q0"], r["q1"], r["q2"]) for r in b.collect()}
+    names = list(docs.columns)
+    text_at, lang_at = names.index("text"), names.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, lang = batch.column(text_at), batch.column(lang_at)
+            for lo, hi in tc.slices(text):
+                own = lang.slice(lo, hi - lo)
+                out = _measured(model, text.slice(lo, hi - lo), own)
+                q0, q1, q2 = np.array([limits.get(x, (np.nan,) * 3) for x in own.to_pylist()]).reshape(-1, 3).T
+                with np.errstate(invalid="ignore"):
+                    wider = 1 + 0.1 * SHORT / np.maximum(out["n_bytes"], 1)
+                    outside = (out["bits"] < q1 - LOW * np.maximum(q1 - q0, 0.02 * q1) * wider) | (out["bits"] > q1 + HIGH * np.maximum(q2 - q1, 0.02 * q1) * wider)
+                good = ~out["base_failed"] & (out["n_symbols"] <= MAX_SYMBOLS * out["n_words"]) & ~outside
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """The measures of each document with ``kept``."""
     m = settle(measure(docs, train(docs)))
     b = bands(m).withColumnRenamed("lang", "band_lang")
-    ok = within(*(F.col(c) for c in ("bits", "n_bytes", "q0", "q1", "q2")))
-    return m.join(b, m["lang"].eqNullSafe(b["band_lang"]), "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(ok, F.lit(True))).alias("kept"), "bits", "lang")
+    return m.join(b, m["lang"].eqNullSafe(b["band_lang"]), "left").select("doc_id", *COUNTS, "base_failed", passes().alias("kept"), "bits", "lang")

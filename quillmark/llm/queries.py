@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, packing, quality_rules
+from . import language_id, lm_scoring, packing, quality_rules
 from .shared import tokenizer_file
 
 
@@ -28,8 +28,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.learn_and_predict(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_lm_score": op2_lm_score,
     "op7_quality": op7_quality,
+    "op9_language": op9_language,
 }
