@@ -41,7 +41,7 @@ from .shared import parts, settle, shared_dir
 #: A task sends what it has counted after so many tokens.
 FLUSH = 1_500_000
 #: Input bytes for each shard of the model.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 #: What stands before a document's first token.
 BEGIN = int(tc.mix(np.array([0xBE61], np.uint64))[0])
 
@@ -162,7 +162,12 @@ def _count(train: DataFrame, shards: int, hot: tuple[int, ...] | None) -> DataFr
 
 
 def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    """The values of all blocks, one after another, without a copy."""
+    blocks = table[name].combine_chunks()
+    blocks = blocks.chunk(0) if isinstance(blocks, pa.ChunkedArray) else blocks
+    off = tc.byte_offsets(blocks)
+    data = blocks.buffers()[2]
+    return np.zeros(0, kind) if data is None else np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind)
 
 
 def _by_shard(blocks: DataFrame, shards: int, merge: Callable[[int, pa.Table], dict], schema: str) -> DataFrame:
