@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, packing, quality_rules
+from . import exact_topk, language_id, lm_scoring, mixing, packing, quality_rules
 from .shared import tokenizer_file
 
 
@@ -32,9 +33,69 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_predict(_table(spark, sf_dir, "documents"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    return exact_topk.top_k(vectors, F.col("id") % 50 == 0)
+
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["op4_mix"] = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        md5(CAST(doc_id AS VARCHAR)) AS k
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+    SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
+), r AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER before, 0)) / sum(weight) OVER after AS level
+    FROM w
+    WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        after AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), o AS (
+    SELECT min_by(level, source_size / weight) AS open_level FROM r WHERE level * weight < 3 * source_size
+), t AS (
+    SELECT source, source_size,
+        CASE WHEN level * weight >= 3 * source_size OR open_level IS NULL THEN 3.0 * source_size ELSE open_level * weight END AS target
+    FROM r, o
+), p AS (
+    SELECT doc_id, d.source, size, source_size, CAST(target AS DOUBLE) AS target,
+        CAST(floor(CAST(target AS DOUBLE)) AS BIGINT) - CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+    CAST(least(greatest(first, 0), size) + least(greatest(first - source_size, 0), size)
+        + least(greatest(first - 2 * source_size, 0), size) AS BIGINT) AS taken
+FROM p
+"""
+
+ORACLES["op10_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_lm_score": op2_lm_score,
+    "op4_mix": op4_mix,
     "op7_quality": op7_quality,
     "op9_language": op9_language,
+    "op10_topk": op10_topk,
 }
