@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, lm_scoring, mixing, packing, quality_rules
+from . import exact_topk, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules
 from .shared import tokenizer_file
 
 
@@ -25,6 +25,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_lm_score": op2_lm_score,
     "op4_mix": op4_mix,
+    "op5_near_dedup": op5_near_dedup,
     "op7_quality": op7_quality,
     "op9_language": op9_language,
     "op10_topk": op10_topk,
