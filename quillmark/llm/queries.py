@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules
+from . import exact_topk, html_extract, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, quality_rules
 from .shared import tokenizer_file
 
 
@@ -29,6 +29,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -100,7 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op4_mix": op4_mix,
     "op5_near_dedup": op5_near_dedup,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
+    "op8_main_text": op8_main_text,
     "op9_language": op9_language,
     "op10_topk": op10_topk,
 }
