@@ -271,3 +271,18 @@ def groups(docs: DataFrame) -> DataFrame:
     out = sketches.select("doc_id", "n", "key").join(of_class, (F.col("n") > 0) & (F.col("key") == F.col("v")), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one of each group: of the rows that have the group's id, one.
+
+    Only the ids of the documents that go are joined with the texts.
+    """
+    found = settle(groups(docs))
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = settle(found.filter("kept").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("__twice"))
+    if not twice.limit(1).count():
+        return left
+    single = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
+    return single.unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, html_extract, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, quality_rules
+from . import exact_topk, html_extract, language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules
 from .shared import tokenizer_file
 
 
@@ -45,6 +45,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_predict(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.report(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -56,6 +61,37 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op3_line_dedup"] = r"""
+WITH o AS (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM documents
+), l AS (
+    SELECT doc_id, pos, raw, trim(lower(raw), ' ') AS line FROM o
+), d AS (
+    SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line
+), x AS (
+    SELECT line, first, n AS goal, 1 AS side, left(line, n // 2 - 1) AS part FROM d
+    UNION ALL SELECT line, first, n, 2, right(line, n // 2 - 1) FROM d
+), y AS (
+    SELECT line, first, n + g AS goal, 1 AS side, left(line, (n + g) // 2 - 1) AS part FROM d, (VALUES (-1), (0), (1)) v(g)
+    UNION ALL SELECT line, first, n + g, 2, right(line, (n + g) // 2 - 1) FROM d, (VALUES (-1), (0), (1)) v(g)
+), e AS (
+    SELECT DISTINCT y.line FROM x JOIN y USING (goal, side, part)
+    WHERE x.first < y.first AND levenshtein(x.line, y.line) = 1
+), j AS (
+    SELECT l.doc_id, l.pos, l.raw,
+        d.line IS NOT NULL AND {'d': l.doc_id, 'p': l.pos} <> d.first AS later,
+        e.line IS NOT NULL AS near
+    FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN e ON l.line = e.line
+), r AS (
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count_if(later) AS BIGINT) AS n_exact,
+        CAST(count_if(near AND NOT later) AS BIGINT) AS n_near,
+        coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT later AND NOT near), '') AS text
+    FROM j GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_exact, n_near, CAST(length(text) AS BIGINT) AS n_chars_left, md5(text) AS text_md5 FROM r
+"""
+
 ORACLES["op4_mix"] = r"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -106,6 +142,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_lm_score": op2_lm_score,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mix": op4_mix,
     "op5_near_dedup": op5_near_dedup,
     "op6_licenses": op6_licenses,
