@@ -206,7 +206,9 @@ def train(docs: DataFrame) -> Model:
         c = np.add.reduceat(c[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
         pair, order = pair[start], order[start]
         first, second = first[order], second[order]
-        store.save(f"{path}/pair-{shard:05d}", hash=pair, count=np.minimum(c, (1 << 32) - 1).astype(np.uint32))
+        # A byte holds nearly every count; 255 refers to the few larger ones.
+        many = np.flatnonzero(c >= 255)
+        store.save(f"{path}/pair-{shard:05d}", hash=pair, count=np.minimum(c, 255).astype(np.uint8), many=np.stack([many, c[many]]))
         keys, code = np.unique(first, return_inverse=True)
         kinds = np.stack([np.bincount(code[m], minlength=len(keys)) for m in (c == 1, c == 2, c > 2)]).astype(np.uint32)
         frequent = np.isin(keys, np.array(hot, np.uint64))
@@ -268,7 +270,11 @@ class Scorer:
                 if rows:
                     out[:, own[there]] = arrays[1][:, at[there]]
                 else:
-                    out[own[there]] = arrays[1][at[there]]
+                    c = arrays[1][at[there]].astype(np.int64)
+                    if kind == "pair" and (c == 255).any():
+                        places, counts = store.load(f"{self.m.path}/{kind}-{k:05d}", "many")
+                        c[c == 255] = counts[np.searchsorted(places, at[there][c == 255])]
+                    out[own[there]] = c
         return out
 
     def tokens(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
