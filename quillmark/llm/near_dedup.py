@@ -12,7 +12,7 @@ candidates are confirmed on full sets.
 Links that large regions may still hide are found in a second round: confirmed
 links give components, and where a large region holds several components, each
 of its members outside the largest is compared with the region's members in other
-components.  Pairs inside a component need no check, as they cannot change it.
+components, in blocks: a pair of blocks is one row and one matrix product.  Pairs inside a component need no check, as they cannot change it.
 
 Full sets of classes that are candidates are kept as arrays in the shared folder
 and memory-mapped where pairs are confirmed, so sets never move in a shuffle.
@@ -45,6 +45,8 @@ TREES, DEPTH, LEAST = 16, 8, 4
 PERCENT = 85
 #: Members up to which a region gives all its pairs.
 SMALL = 12
+#: Members in the blocks that are compared in large regions, and columns of a matrix.
+OUTSIDE, INSIDE, COLUMNS = 128, 256, 4096
 _FACTORS = tc.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -239,16 +241,70 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def hidden(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components in large regions: members outside the largest component with all others."""
+def _block(part: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys, components and sets of a block's members."""
+    v = np.array([x["v"] for x in part], np.int64)
+    c = np.array([x["c"] for x in part], np.int64)
+    return v, c, [store.load(x["place"], "set")[x["start"] : x["start"] + x["n"]] for x in part]
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two blocks of sets, as products of 0/1 matrices, some columns at a time."""
+    vocabulary = np.unique(np.concatenate(x))
+    sides = []
+    for sets in (x, y):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at, there = store.find(vocabulary, np.concatenate(sets))
+        at, row = at[there], row[there]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order]))
+    out = np.zeros((len(x), len(y)), np.float64)
+    for lo in range(0, len(vocabulary), COLUMNS):
+        some = []
+        for (at, row), size in zip(sides, (len(x), len(y))):
+            i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+            m = np.zeros((size, COLUMNS), np.float32)
+            m[row[i:j], at[i:j] - lo] = 1
+            some.append(m)
+        out += some[0] @ some[1].T
+    return out
+
+
+def hidden(rows: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components that large regions hide.
+
+    Members outside a region's largest component are compared with all its members
+    block by block.  A pair of blocks is one row and one matrix product; of the
+    links of a member with another component one is returned, as more change nothing.
+    """
     large = rows.filter(F.col("size") > SMALL).select("v", "n", "p4")
-    own = settle(large.join(labels.select(F.col("v").alias("u"), F.col("label.v").alias("c")), F.col("v") == F.col("u"), "left").select("v", "n", "p4", F.coalesce("c", "v").alias("c")))
-    parts_of = own.groupBy("p4", "c").agg(F.count(F.lit(1)).alias("k"))
-    biggest = parts_of.groupBy("p4").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("several")).filter("several > 1").select(F.col("p4").alias("r"), F.col("m.c").alias("main"))
-    own = own.join(biggest, F.col("p4") == F.col("r")).drop("r")
-    outside = own.filter("c <> main").select(F.col("p4").alias("r"), F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
-    near = (100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")) & (F.col("c") != F.col("c_x"))
-    return outside.join(own, (F.col("r") == F.col("p4")) & near).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct()
+    own = large.join(labels.select(F.col("v").alias("u"), F.col("label.v").alias("c")), F.col("v") == F.col("u"), "left").select("v", "n", "p4", F.coalesce("c", "v").alias("c"))
+    own = settle(own.join(sets.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("v", "n", "p4", "c", "place", "start"))
+    counts = own.groupBy("p4", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("p4").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("several")).filter("several > 1").select(F.col("p4").alias("r"), F.col("m.c").alias("main"), F.col("all"), (F.col("all") - F.col("m.k")).alias("outside"))
+    own = own.join(main, F.col("p4") == F.col("r")).drop("r")
+    member = F.struct("v", "c", "place", "start", "n")
+    deal = lambda seed, total, size: F.pmod(F.xxhash64(F.lit(seed), "v"), F.ceil(total / size)).cast("int")
+    left = own.filter("c <> main").groupBy("p4", deal(1, F.col("outside"), OUTSIDE).alias("i")).agg(F.collect_list(member).alias("x"))
+    right = own.groupBy(F.col("p4").alias("r"), deal(2, F.col("all"), INSIDE).alias("j")).agg(F.collect_list(member).alias("y"))
+    items = left.join(right, F.col("p4") == F.col("r")).select("p4", "i", "j", "x", "y")
+    items = items.repartition(F.xxhash64("p4", "i", "j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                (v, c, x), (u, d, y) = _block(row["x"]), _block(row["y"])
+                both = overlaps(x, y)
+                n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+                linked = (100 * both >= PERCENT * (n[:, None] + m[None] - both)) & (c[:, None] != d[None])
+                a, b = np.nonzero(linked)
+                if len(a):
+                    first = np.unique(np.stack([a, d[b]]), axis=1, return_index=True)[1]
+                    a, b = v[a[first]], u[b[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return items.select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -263,7 +319,7 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = write_sets(docs, some)
     edges = settle(confirm(pairs, sets, members))
     labels = components(some, edges)
-    more = settle(confirm(hidden(rows, labels), sets, members))
+    more = settle(hidden(rows, labels, sets))
     if more.limit(1).count():
         labels = components(some, edges.union(more))
     component = labels.select(F.col("v").alias("u"), F.col("label.first").alias("component"))
