@@ -83,16 +83,16 @@ def mix(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     numbered to share out their takings; only such rows pass through a window.
     """
     key = {"__id": F.col("doc_id"), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text"))}
-    takes = plan(docs, epochs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes")).filter("takes[0] > 0")
-    takes = settle(takes.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "takes"))
+    takes = plan(docs, epochs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("__takes")).filter("__takes[0] > 0")
+    takes = settle(takes.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__takes"))
     marked = docs.withColumns(key)
-    same = marked["__id"].eqNullSafe(F.col("i")) & marked["__source"].eqNullSafe(F.col("s")) & (marked["__size"] == F.col("z"))
-    single = marked.join(takes.filter("size(takes) = 1"), same).withColumn("__taken", F.col("takes")[0])
-    number = F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.xxhash64("text")))
-    several = marked.join(takes.filter("size(takes) > 1"), same).withColumn("__taken", F.element_at("takes", number))
+    same = marked["__id"].eqNullSafe(F.col("__i")) & marked["__source"].eqNullSafe(F.col("__s")) & (marked["__size"] == F.col("__z"))
+    single = marked.join(takes.filter("size(__takes) = 1"), same).withColumn("__taken", F.col("__takes")[0])
+    number = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64("text")))
+    several = marked.join(takes.filter("size(__takes) > 1"), same).withColumn("__taken", F.element_at("__takes", number))
     chosen = single.unionByName(several)
-    whole = F.floor(F.col("__taken") / F.greatest(F.col("z"), F.lit(1))).cast("int")
-    part = (F.col("__taken") - whole * F.col("z")).cast("int")
+    whole = F.floor(F.col("__taken") / F.greatest(F.col("__z"), F.lit(1))).cast("int")
+    part = (F.col("__taken") - whole * F.col("__z")).cast("int")
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, part), " ")
     copies = F.concat(F.array_repeat("text", whole), F.when(part > 0, F.array(first_words)).otherwise(F.array().cast("array<string>")))
     rest = [c for c in docs.columns if c != "text"]
