@@ -19,7 +19,8 @@ and memory-mapped where pairs are confirmed, so sets never move in a shuffle.
 
 Defined results: a null or empty text has no shingles and is linked with nothing;
 repeated rows are in one class; with repeated ids each row is judged by its own
-text; an empty table gives an empty result; columns besides doc_id and text are
+text; rows without an id are linked with nothing, have no component and are kept;
+an empty table gives an empty result; columns besides doc_id and text are
 ignored by ``groups`` and kept by ``first_of_each``.
 """
 
@@ -310,7 +311,7 @@ def hidden(rows: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     sketches = settle(sketch(docs))
-    classes = settle(sketches.filter("n > 0").groupBy(F.col("key").alias("v")).agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    classes = settle(sketches.filter("n > 0 and doc_id is not null").groupBy(F.col("key").alias("v")).agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     rows = settle(crowded(prefixes(classes)))
     pairs = settle(candidates(rows))
     members = classes.select("v", "first", "n")
@@ -326,7 +327,7 @@ def groups(docs: DataFrame) -> DataFrame:
     of_class = members.join(component, F.col("v") == F.col("u"), "left").select("v", F.coalesce("component", "first").alias("component"))
     out = sketches.select("doc_id", "n", "key").join(of_class, (F.col("n") > 0) & (F.col("key") == F.col("v")), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

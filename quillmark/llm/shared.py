@@ -44,7 +44,12 @@ def tokenizer_file(name: str) -> str:
 
 
 def parts(df: DataFrame, size: int, least: int = 8, most: int = 1 << 16) -> int:
-    """Parts of about ``size`` bytes for the input files of ``df``, as its plan knows them."""
+    """Parts of about ``size`` bytes for the input files of ``df``, as its plan knows them.
+
+    Where the plan knows no size, there are two parts for each partition.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if total >= 1 << 60:
+        return int(min(max(least, 2 * df.rdd.getNumPartitions()), most))
     return int(min(max(least, total // size), most))

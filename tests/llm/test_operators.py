@@ -190,7 +190,7 @@ def test_mix(spark, docs, empty):
         for s in full or live:
             goals[s] = 3.0 * size[s] if full else share * weight[s]
         left -= sum(goals[s] for s in full)
-        live = [s for s in live if s in full is False or s not in goals]
+        live = [s for s in live if s not in goals]
     for r in rows:
         assert r["target"] == pytest.approx(goals[r["source"]]) and r["source_size"] == size[r["source"]] and 0 <= r["taken"] <= 3 * r["size"]
     for s in goals:
