@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import scalar, search, vector
+from quillmark.functions.session import Session
 from quillmark.operators import graph, projections, relational, timeseries, windows
 from quillmark.operators.recursive import fixpoint
 from quillmark.session import Engine
@@ -128,6 +129,20 @@ def _(e: Engine) -> DataFrame:
     return e.table("region").filter(F.lit(relational.exists(e.table("orders"), F.col("o_totalprice") > 1000))).select("r_regionkey")
 
 
+for _hint in ("merge", "shuffle_hash", "broadcast"):
+
+    @register(f"join_{_hint}_strategy", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+    def _(e: Engine, hint: str = _hint) -> DataFrame:
+        c, n = e.table("customer").filter("c_acctbal > 0"), e.table("nation")
+        return c.join(n.hint(hint), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+
+
+@register("fn_session", "SELECT 'public' AS s, 'UTC' AS tz, 'reader' AS u, 'x' AS c")
+def _(e: Engine) -> DataFrame:
+    s = Session()
+    return e.spark.range(1).select(s.current_schema().alias("s"), s.current_setting("timezone").alias("tz"), s.current_user().alias("u"), s.set_config("app", "x").alias("c"))
+
+
 # --- aggregation, sort, distinct, set operations
 
 both("agg_group", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 4) AS q, ROUND(AVG(l_discount), 8) AS d, MIN(l_shipdate) AS lo, MAX(l_shipdate) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus")
@@ -369,6 +384,18 @@ def _(e: Engine) -> DataFrame:
     return scored.select("doc_id", F.round(h, 6).alias("h")).orderBy(F.desc("h"), "doc_id").limit(15)
 
 
+@register("vec_planes_search")
+def _(e: Engine) -> DataFrame:
+    return vector.Hyperplanes(e.table("embeddings"), "vec_id", "embedding", 64).search(_V, 10)
+
+
+@register("search_aggregate", _BM25 + "SELECT lang, CAST(count(*) AS BIGINT) AS n, round(max(score), 6) AS best FROM sc WHERE score > 0 GROUP BY lang")
+def _(e: Engine) -> DataFrame:
+    d = e.table("documents")
+    hit = d.withColumn("score", search.score(d, "text", _QUERY)).filter("score > 0")
+    return hit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
 # --- graphs: nations and regions, and nations in a ring
 
 _EDGES_SQL = """
@@ -450,6 +477,26 @@ def _(e: Engine) -> DataFrame:
     return rows
 
 
+@register("proj_repair", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")
+def _(e: Engine) -> DataFrame:
+    store = _store(e.spark)
+    store.write("customer", e.table("customer").filter("c_custkey < 50"))
+    views = projections.Projections(store)
+    build = lambda q: store.read("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    views.create("nations", "SELECT c_nationkey, n FROM customer", ["customer"], build)
+    store.write("customer", e.table("customer"))
+    views.repair("nations")
+    return views.read("nations")
+
+
+@register("ts_index_layout", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05'")
+def _(e: Engine) -> DataFrame:
+    path = f"{shared_dir(e.spark)}/events-{uuid.uuid4().hex}"
+    timeseries.write_partitioned(e.table("events").select("event_id", "event_type", "ts"), path, "ts", ["event_type"])
+    rows = timeseries.time_range(e.spark.read.parquet(path), "ts", "2024-01-02", "2024-01-05").filter("day >= DATE'2024-01-02' AND day < DATE'2024-01-05'")
+    return rows.select("event_id", "event_type")
+
+
 @register("replay_apply", "SELECT CAST(user_id AS VARCHAR) AS document_id, max_by(props, event_id) AS payload, max(event_id) AS position FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'error'")
 def _(e: Engine) -> DataFrame:
     events = e.table("events").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").cast("string").alias("checkpoint"), F.col("event_id").alias("position"), F.col("user_id").cast("string").alias("document_id"), F.when(F.col("event_type") != "error", F.col("props")).alias("payload"))

@@ -88,6 +88,38 @@ class IVF:
         return top_k(self.listed.filter(F.col("list_id").isin(*order)), self.key, self.vector, query, k, metric)
 
 
+class Hyperplanes:
+    """Approximate search by signs of random projections: rows that share a bucket with the query
+    in one of ``tables`` tables are ranked by exact distance.
+
+    Bucket numbers are columns, so an index is one more table, and a search is a
+    filter on them that the scan can use.
+    """
+
+    def __init__(self, df: DataFrame, key: str, vector: str, dimensions: int, tables: int = 12, bits: int = 6, seed: int = 1) -> None:
+        self.key, self.vector = key, vector
+        self.planes = np.random.default_rng(seed).normal(size=(tables, bits, dimensions))
+        planes = self.planes
+
+        @F.pandas_udf("array<int>")
+        def buckets(s: pd.Series) -> pd.Series:
+            v = np.array(s.tolist(), float).reshape(len(s), -1)
+            return pd.Series(list(_signs(v, planes)))
+
+        self.index = df.filter(F.col(vector).isNotNull()).withColumn("buckets", buckets(vector))
+
+    def search(self, query: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
+        own = _signs(np.array([query], float), self.planes)[0]
+        near = self.index.filter(F.exists(F.zip_with("buckets", F.array(*(F.lit(int(b)) for b in own)), lambda a, b: a == b), lambda x: x))
+        return top_k(near, self.key, self.vector, query, k, metric)
+
+
+def _signs(v: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Bucket numbers by row and table."""
+    up = np.einsum("nd,tbd->ntb", v, planes) > 0
+    return (up << np.arange(planes.shape[1])).sum(2).astype(np.int32)
+
+
 def embed(text: Column, dimensions: int = 64, model: str = "local", salt: str = "document") -> Column:
     """A deterministic unit vector from SHA-256 digests of the text."""
 

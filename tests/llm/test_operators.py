@@ -254,7 +254,7 @@ def test_near_dedup_in_crowded_regions(spark, monkeypatch):
 def test_licenses(spark, docs, empty):
     got = by_id(license_scan.scan(docs))
     r = got[4][0]
-    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (18, 2, 1, 6, "apache-2,mit")
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (19, 2, 1, 6, "apache-2,mit")
     assert r["score"] == 1 and set(r["labels"].split(",")) >= {"apache-2", "mit"}
     assert (got[0][0]["n_words"], got[0][0]["first_word"], got[0][0]["labels"], got[0][0]["score"]) == (0, None, "", 0)
     for d, t, *_ in ROWS:
