@@ -48,6 +48,8 @@ PERCENT = 85
 SMALL = 12
 #: Members in the blocks that are compared in large regions, and columns of a matrix.
 OUTSIDE, INSIDE, COLUMNS = 128, 256, 4096
+#: Bits that mark the ids which leave; what they mark is broadcast, at most an eighth as many bytes.
+MARK_BITS = 1 << 24
 _FACTORS = tc.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -330,14 +332,32 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``gone.__gone``.
+
+    A bitmap of hashed ids, of fixed size and so broadcast, tells most rows apart
+    where they are read; only rows whose bit is set are joined by shuffle.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MARK_BITS))
+    marks = gone.groupBy(F.bitmap_bucket_number(bit("__gone")).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("__gone"))).alias("__bits"))
+    rows = docs.withColumn("__bit", bit("doc_id"))
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number("__bit") == F.col("__bucket"), "left")
+    place = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8).cast("int") + 1)) != 0, F.lit(False))
+    sure = rows.filter(~marked).select(*docs.columns)
+    left = rows.filter(marked).select(*docs.columns)
+    return sure.unionByName(left.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one of each group: of the rows that have the group's id, one.
 
-    Only the ids of the documents that go are joined with the texts.
+    Only documents that may have to go are joined with the ids of those that do.
     """
     found = settle(groups(docs))
     gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    left = without(docs, gone)
     twice = settle(found.filter("kept").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("__twice"))
     if not twice.limit(1).count():
         return left
