@@ -27,12 +27,19 @@ from .shared import settle
 #: Times that a document may be taken.
 EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources up to which their cuts are broadcast; beyond it, they are joined by shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _key() -> Column:
+    """The hash that orders a source's documents."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """source, source_size, target from source, source_size; the n-th source weighs 1, 2, 3, 1, ...
 
@@ -55,8 +62,7 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 def plan(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")))
+    rows = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _key().alias("key")))
     rows = rows.withColumn("b1", F.substring("key", 1, 2)).withColumn("b2", F.substring("key", 3, 2))
     fine = settle(rows.groupBy("source", "b1", "b2").agg(F.sum("size").alias("part")))
     coarse = fine.groupBy("source", "b1").agg(F.sum("part").alias("part"))
@@ -75,25 +81,44 @@ def plan(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def cuts(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
+    """Per source: whole, how often all of it is taken, and cut (key, id, size, extra).
+
+    Rows that come before the cut are taken once more, rows that equal it share
+    ``extra`` words.  A source that is only taken as a whole has no cut.
+    """
+    rows = plan(docs, epochs)
+    whole = F.floor(F.floor("target") / F.greatest("source_size", F.lit(1))).cast("int")
+    rows = rows.withColumn("whole", whole).withColumn("extra", F.col("taken") - F.col("whole") * F.col("size"))
+    place = F.when(F.col("extra") > 0, F.struct(_key().alias("key"), F.col("doc_id").alias("id"), F.col("size").alias("size")))
+    places = rows.groupBy("source", "whole", place.alias("place")).agg(F.sum("extra").alias("extra"))
+    last = F.max(F.when(F.col("place").isNotNull(), F.struct("place", "extra")))
+    return places.groupBy("source", "whole").agg(last.alias("last")).select(F.col("source").alias("__s"), F.col("whole").alias("__whole"), F.col("last.place").alias("__cut"), F.col("last.extra").alias("__extra"))
+
+
 def mix(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """The mixed documents: each as often as it is taken, the one at a source's cut in part.
 
     The part holds the first words of the text, with one space between them.
-    Documents without words take no part.  Rows that share id, source and size are
-    numbered to share out their takings; only such rows pass through a window.
+    Documents without words take no part.  Every row is compared with its source's
+    cut where it is read, so texts do not move; only rows that equal the cut, which
+    are repeated rows of one document, are numbered to share out what is left.
     """
-    key = {"__id": F.col("doc_id"), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text"))}
-    takes = plan(docs, epochs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("__takes")).filter("__takes[0] > 0")
-    takes = settle(takes.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__takes"))
-    marked = docs.withColumns(key)
-    same = marked["__id"].eqNullSafe(F.col("__i")) & marked["__source"].eqNullSafe(F.col("__s")) & (marked["__size"] == F.col("__z"))
-    single = marked.join(takes.filter("size(__takes) = 1"), same).withColumn("__taken", F.col("__takes")[0])
-    number = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64("text")))
-    several = marked.join(takes.filter("size(__takes) > 1"), same).withColumn("__taken", F.element_at("__takes", number))
-    chosen = single.unionByName(several)
-    whole = F.floor(F.col("__taken") / F.greatest(F.col("__z"), F.lit(1))).cast("int")
-    part = (F.col("__taken") - whole * F.col("__z")).cast("int")
+    goals = settle(cuts(docs, epochs))
+    if goals.count() <= BROADCAST_SOURCES:
+        goals = F.broadcast(goals)
+    rows = docs.withColumns({"__key": _key(), "__size": word_count(F.col("text"))})
+    rows = rows.join(goals, F.col("source").cast("string").eqNullSafe(F.col("__s")))
+    place = F.struct("__key", F.col("doc_id"), F.col("__size"))
+    at_cut = F.coalesce((F.col("__key") == F.col("__cut.key")) & (place == F.col("__cut")), F.lit(False))
+    once_more = F.coalesce(place < F.col("__cut"), F.lit(False))
+    apart = rows.filter(~at_cut).withColumn("__more", F.when(once_more, F.col("__size")).otherwise(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("__s", "__key", "doc_id", "__size").orderBy(F.xxhash64("text")))
+    equal = rows.filter(at_cut).withColumn("__more", F.least(F.greatest(F.col("__extra") - (number - 1) * F.col("__size"), F.lit(0)), F.col("__size")))
+    chosen = apart.unionByName(equal).filter("__size > 0 and __whole + __more > 0")
+    part = F.when(F.col("__more") < F.col("__size"), F.col("__more")).otherwise(F.lit(0)).cast("int")
+    times = F.col("__whole") + F.when(F.col("__more") == F.col("__size"), 1).otherwise(0)
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, part), " ")
-    copies = F.concat(F.array_repeat("text", whole), F.when(part > 0, F.array(first_words)).otherwise(F.array().cast("array<string>")))
+    copies = F.concat(F.array_repeat("text", times), F.when(part > 0, F.array(first_words)).otherwise(F.array().cast("array<string>")))
     rest = [c for c in docs.columns if c != "text"]
     return chosen.select(*rest, F.explode(copies).alias("text")).select(*docs.columns)
