@@ -361,3 +361,16 @@ def test_exact_top_k(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(name, same_as_duckdb):
     same_as_duckdb(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_without_and_repeated_rows_at_the_cut(spark):
+    rows = [(i if i % 7 else None, f"text {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "__gone long")
+    left = near_dedup.without(docs, gone)
+    assert sorted(map(str, left.collect())) == sorted(map(str, docs.filter("doc_id is null or doc_id % 3 <> 0").collect()))
+    same = spark.createDataFrame([(1, "a", "u v w")] * 5 + [(2, "b", "x y")], "doc_id long, source string, text string")
+    mixed = mixing.mix(same)
+    taken = mixing.plan(same).groupBy("source").sum("taken").collect()
+    words = {s: sum(len(r["text"].split()) for r in mixed.collect() if r["source"] == s) for s in "ab"}
+    assert words == {r["source"]: r["sum(taken)"] for r in taken}
