@@ -16,6 +16,10 @@ from quillmark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from quillmark.llm.shared import shared_dir, tokenizer_file
 
 
+#: Edits up to which lines are near copies; short lines allow fewer.
+LINE_EDITS = 5
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """Documents whose texts have changed, with n_chars as it is now."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -27,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; documents that lose every word go."""
-    left = _sized(line_dedup.clean(docs))
+    """Documents without repeated or nearly repeated lines; documents that lose every word go."""
+    left = _sized(line_dedup.clean(docs, LINE_EDITS))
     return left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

@@ -177,6 +177,46 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, small):
         assert (got[i][0]["n_exact"], got[i][0]["n_near"]) == (int(first[x] != i), int(near)), x
 
 
+@pytest.mark.parametrize("small", [1, 32])
+@pytest.mark.parametrize("edits", [2, 5])
+def test_line_dedup_with_more_edits_equals_brute_force(spark, monkeypatch, small, edits):
+    """Lines of several lengths with up to seven edits, all over and at the ends."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    rng = np.random.default_rng(5)
+    lines = []
+    for size in (21, 24, 35, 38, 47, 50, 60, 62, 89, 92, 140):
+        base = "".join(chr(97 + int(c)) for c in rng.integers(26, size=size))
+        lines.append(base)
+        for _ in range(40):
+            s = base
+            lo, hi = [(0, 1), (0, 0.3), (0.7, 1)][int(rng.integers(3))]
+            for _ in range(int(rng.integers(1, 8))):
+                at, kind = int(len(s) * rng.uniform(lo, hi)), rng.integers(3)
+                s = s[:at] + ("" if kind == 2 else "#") + s[at + (kind != 1) :]
+            lines.append(s)
+    rng.shuffle(lines)
+    rows = [(i, x, "en", "s", 1, None, 1, None, 1, 1) for i, x in enumerate(lines)]
+    got = by_id(line_dedup.report(spark.createDataFrame(rows, DDL), edits))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    first, seen = {}, []
+    for i, x in enumerate(lines):
+        first.setdefault(x, i)
+    for i, x in enumerate(lines):
+        most = lambda y: max(1, min(edits, min(len(x), len(y)) // line_dedup.PER_EDIT))  # noqa: B023, E731
+        near = len(x) >= line_dedup.MIN_CHARS and first[x] == i and any(abs(len(x) - len(y)) <= edits and distance(x, y) <= most(y) for y in seen)
+        if len(x) >= line_dedup.MIN_CHARS and first[x] == i:
+            seen.append(x)
+        assert got[i][0]["n_near"] == int(near), x
+
+
 def test_mix(spark, docs, empty):
     rows = mixing.plan(docs).collect()
     size = {}
