@@ -3,13 +3,14 @@
 Native: DataFrame functions only.  A first pass counts in how many documents each
 template word occurs; the second does the rest row by row.  For each document it
 
-1. finds its licence words and the templates whose mandatory words it all has,
-2. takes its ``ANCHORS`` licence words of highest inverse document frequency and
-   looks their places up in the templates' postings,
+1. finds its licence words and the templates whose mandatory words it all has and
+   whose mandatory key phrase stands in it word by word,
+2. looks the places of these templates' anchors up: a template's anchors are its
+   places of highest inverse document frequency, one more than may disagree, so an
+   offset that is accepted has an anchor that agrees,
 3. intersects them by relative position: each pair of places names an offset, and
    at each offset the template's words are compared with the document's,
-4. accepts a template when enough words agree at one offset and its mandatory key
-   phrase stands in the document word by word.
+4. accepts a template when enough words agree at one offset.
 
 Base labels come from three exact phrases and always stay.
 
@@ -51,7 +52,6 @@ TEMPLATES = [
     ("cc-by", "licensed under cc by 4 0", "licensed under cc by 4"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
 ]
-ANCHORS = 6
 #: Part of a template's words that must agree at one offset.
 AGREE = 0.6
 VOCABULARY = sorted({w for _, text, key in TEMPLATES for w in f"{text} {key}".split()})
@@ -81,32 +81,35 @@ def rarity(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
 
 
+def anchors(words: list[str], idf: dict[str, float]) -> list[int]:
+    """The rarest places of a template: as many as disagree where it is just not accepted."""
+    least = min(m for m in range(len(words) + 1) if m / len(words) >= AGREE)
+    return sorted(range(len(words)), key=lambda j: (-idf[words[j]], j))[: len(words) - least + 1]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     idf = rarity(docs)
-    place = {w: k for k, w in enumerate(sorted(VOCABULARY, key=lambda w: (-idf[w], w)))}
-    order = F.create_map(*(F.lit(x) for w, k in place.items() for x in (w, k)))
-    by_rank = _strings(sorted(place, key=place.get))
-    templates = F.array(*(F.struct(F.lit(label).alias("label"), _strings(text.split()).alias("words"), F.lit(f" {key} ").alias("key"), _strings(sorted(set(key.split()))).alias("must")) for label, text, key in TEMPLATES))
+    postings = lambda text: F.array(*(F.struct(F.lit(text[j]).alias("w"), F.lit(j).alias("j")) for j in anchors(text, idf)))
+    templates = F.array(*(F.struct(F.lit(label).alias("label"), _strings(text.split()).alias("words"), postings(text.split()).alias("anchors"), F.lit(f" {key} ").alias("key"), _strings(sorted(set(key.split()))).alias("must")) for label, text, key in TEMPLATES))
 
     rows = _words(docs)
     fits = F.filter(templates, lambda t: F.size(F.array_except(t["must"], F.col("known"))) == 0)
     rows = rows.withColumn("fits", fits)
+    rows = rows.withColumn("line", F.when(F.size("fits") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
+    rows = rows.withColumn("fits", F.filter("fits", lambda t: F.contains(F.col("line"), t["key"])))
     some = F.size("fits") > 0
-    ranks = F.slice(F.array_sort(F.transform("known", lambda w: order[w])), 1, ANCHORS)
-    rows = rows.withColumn("anchors", F.when(some, F.transform(ranks, lambda k: F.element_at(by_rank, k + 1))))
+    rows = rows.withColumn("anchors", F.when(some, F.array_distinct(F.flatten(F.transform("fits", lambda t: t["anchors"]["w"])))))
     rows = rows.withColumn("at", F.when(some, F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("anchors"), x["w"]))))
-    rows = rows.withColumn("line", F.when(some, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
 
     def offsets(t: Column) -> Column:
-        postings = F.transform(t["words"], lambda w, j: F.struct(w.alias("w"), j.alias("j")))
-        return F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["j"]))))
+        return F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(F.filter(t["anchors"], lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["j"]))))
 
     def agreement(t: Column, offset: Column) -> Column:
         same = F.filter(t["words"], lambda w, j: (offset + j >= 0) & (F.get("words", offset + j) == w))
         return F.size(same) / F.size(t["words"])
 
-    placed = F.transform(F.filter("fits", lambda t: F.contains(F.col("line"), t["key"])), lambda t: F.struct(t["label"].alias("label"), F.array_max(F.transform(offsets(t), lambda o: agreement(t, o))).alias("part")))
+    placed = F.transform("fits", lambda t: F.struct(t["label"].alias("label"), F.array_max(F.transform(offsets(t), lambda o: agreement(t, o))).alias("part")))
     rows = rows.withColumn("found", F.filter(F.when(some, placed), lambda x: x["part"] >= AGREE))
 
     pattern = _any_phrase()

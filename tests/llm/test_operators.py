@@ -306,6 +306,19 @@ def test_licenses(spark, docs, empty):
     assert found[1][0]["labels"] == "gpl-3" and found[2][0]["labels"] == ""
 
 
+def test_licenses_with_several_notices(spark):
+    """Each notice is found beside others, and where words it shares with the text stand elsewhere too."""
+    text = {label: t for label, t, _ in license_scan.TEMPLATES}
+    every = [(k, f"{a} x {b}", {la, lb}) for k, ((la, a), (lb, b)) in enumerate((p, q) for p in text.items() for q in text.items())]
+    every.append((-1, " y ".join(t for _, t, _ in license_scan.TEMPLATES), set(text)))
+    # Six of the ten rarest words are lost: what agrees are the common ones.
+    every.append((-2, "redistribution and use in source and binary forms with or without x x x x that the y y z", {"bsd"}))
+    rows = spark.createDataFrame([(k, t) for k, t, _ in every], "doc_id long, text string").repartition(8)
+    found = by_id(license_scan.scan(rows))
+    for k, t, labels in every:
+        assert set(found[k][0]["labels"].split(",")) >= labels, t
+
+
 def test_quality(spark, docs, empty):
     got = by_id(quality_rules.verdicts(docs))
     for d, t, *_ in ROWS:
