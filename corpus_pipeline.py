@@ -18,6 +18,8 @@ from quillmark.llm.shared import shared_dir, tokenizer_file
 
 #: Edits up to which lines are near copies; short lines allow fewer.
 LINE_EDITS = 5
+#: Similarity in percent from which documents are near-duplicates.
+NEAR_PERCENT = 80
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.first_of_each(docs)
+    return near_dedup.first_of_each(docs, NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A document's set holds its distinct 5-word shingles (A-Z in lower case); a text
 of fewer words is one shingle, a text without words has none.  Documents with the
 same set form a class at once.  The forest has ``TREES`` trees; a tree orders the
 classes by ``DEPTH`` signature values of its own, and classes that share a prefix
-of ``LEAST`` values stand in one region.  Depth adapts by region: a small region
+of a least number of values, which ``least_depth`` takes from the threshold, stand
+in one region.  Depth adapts by region: a small region
 gives all its pairs as candidates; a larger one is split by one more value, and
 so on, while every region of any depth links its members to its first one.  All
 candidates are confirmed on full sets.
@@ -41,9 +42,11 @@ from .lm_scoring import shard_of
 from .shared import parts, settle, shared_dir
 
 WIDTH = 5
-TREES, DEPTH, LEAST = 16, 8, 4
-#: A link needs 100 * intersection >= PERCENT * union.
+TREES, DEPTH = 16, 8
+#: A link needs 100 * intersection >= percent * union; this is the percent where none is given.
 PERCENT = 85
+#: Probability, at most, that a pair at exactly the threshold shares no shallowest region.
+MISS = 2e-5
 #: Members up to which a region gives all its pairs.
 SMALL = 12
 #: Members in the blocks that are compared in large regions, and columns of a matrix.
@@ -53,6 +56,14 @@ MARK_BITS = 1 << 24
 _FACTORS = tc.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def least_depth(percent: int) -> int:
+    """Values in the shallowest prefixes: as many as ``MISS`` allows."""
+    fit = [d for d in range(1, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= MISS]
+    if not fit:
+        raise ValueError(f"{TREES} trees cannot find pairs of similarity {percent} %")
+    return max(fit)
+
+
 def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending within their rows, the rows, and the set size by row."""
     h, row, _, _, n = tc.words(text, lower=True)
@@ -99,9 +110,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, signature binary")
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: v, n, first and the hashes p4..p8 of its prefixes."""
-    depths = range(LEAST, DEPTH + 1)
+def prefixes(classes: DataFrame, least: int) -> DataFrame:
+    """A row for each class and tree: v, n, first and the hashes p{least}..p8 of its prefixes."""
+    depths = range(least, DEPTH + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +124,7 @@ def prefixes(classes: DataFrame) -> DataFrame:
                 out = []
                 for d in range(DEPTH):
                     h = tc.combine(h, s[:, :, d])
-                    if d + 1 >= LEAST:
+                    if d + 1 >= least:
                         out.append(pa.array(h.ravel().view(np.int64)))
                 times = np.repeat(np.arange(part.num_rows), TREES)
                 yield pa.RecordBatch.from_arrays([v.take(pa.array(times)), first.take(pa.array(times)), n.take(pa.array(times)), *out], ["v", "first", "n", *(f"p{d}" for d in depths)])
@@ -121,33 +132,34 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return classes.select("v", "first", "n", "signature").mapInArrow(run, "v long, first long, n long, " + ", ".join(f"p{d} long" for d in depths))
 
 
-def crowded(rows: DataFrame) -> DataFrame:
+def crowded(rows: DataFrame, least: int) -> DataFrame:
     """The rows whose shallowest region has other members; regions of one are the common case."""
-    regions = rows.groupBy("p4").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed("p4", "q4")
-    return rows.join(regions, rows["p4"] == F.col("q4")).drop("q4")
+    p = f"p{least}"
+    regions = rows.groupBy(p).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed(p, "q")
+    return rows.join(regions, rows[p] == F.col("q")).drop("q")
 
 
-def pairs_in(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+def pairs_in(a: DataFrame, b: DataFrame, on: str, percent: int) -> DataFrame:
     """Pairs of members of a region whose set sizes allow a link, smaller key first."""
     x = a.select(F.col(on).alias("r"), F.col("v").alias("a"), F.col("n").alias("n_a"))
     y = b.select(F.col(on).alias("r2"), F.col("v").alias("b"), F.col("n").alias("n_b"))
-    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
     return x.join(y, (F.col("r") == F.col("r2")) & near).select("a", "b")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, least: int, percent: int) -> DataFrame:
     """Distinct candidate pairs of the first round."""
     found, left = [], rows
-    for d in range(LEAST, DEPTH + 1):
+    for d in range(least, DEPTH + 1):
         p = f"p{d}"
-        if d > LEAST:
+        if d > least:
             sizes = left.groupBy(p).agg(F.count(F.lit(1)).alias("own"), F.min("v").alias("top")).filter("own > 1").withColumnRenamed(p, "q")
             left = left.drop("size", "top").join(sizes, left[p] == F.col("q")).drop("q").withColumnRenamed("own", "size")
         else:
             tops = left.filter(F.col("size") > SMALL).groupBy(p).agg(F.min("v").alias("top")).withColumnRenamed(p, "q")
             left = left.join(tops, left[p] == F.col("q"), "left").drop("q")
         small = left.filter(F.col("size") <= SMALL)
-        found.append(pairs_in(small, small, p))
+        found.append(pairs_in(small, small, p, percent))
         left = left.filter(F.col("size") > SMALL)
         found.append(left.filter("v <> top").select(F.col("top").alias("a"), F.col("v").alias("b")))
         left = settle(left)
@@ -209,7 +221,7 @@ def write_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("v").agg(F.min_by(F.struct("place", "start"), F.struct("place", "start")).alias("at")).select("v", "at.place", "at.start")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike."""
     where = settle(sets.join(classes.select(F.col("v").alias("w"), "n"), F.col("v") == F.col("w")).select("v", "place", "start", "n"))
     side = lambda x: where.select(*(F.col(c).alias(f"{x}_{c}") for c in ("v", "place", "start", "n")))
@@ -223,7 +235,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
                 x, y = (store.load(get[f"{s}_place"][i], "set")[(b := get[f"{s}_start"][i]) : b + get[f"{s}_n"][i]] for s in "xy")
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 both = int(store.find(y, x)[1].sum())
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -273,25 +285,25 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def hidden(rows: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def hidden(rows: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
     """Links across components that large regions hide.
 
     Members outside a region's largest component are compared with all its members
     block by block.  A pair of blocks is one row and one matrix product; of the
     links of a member with another component one is returned, as more change nothing.
     """
-    large = rows.filter(F.col("size") > SMALL).select("v", "n", "p4")
-    own = large.join(labels.select(F.col("v").alias("u"), F.col("label.v").alias("c")), F.col("v") == F.col("u"), "left").select("v", "n", "p4", F.coalesce("c", "v").alias("c"))
-    own = settle(own.join(sets.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("v", "n", "p4", "c", "place", "start"))
-    counts = own.groupBy("p4", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("p4").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("several")).filter("several > 1").select(F.col("p4").alias("r"), F.col("m.c").alias("main"), F.col("all"), (F.col("all") - F.col("m.k")).alias("outside"))
-    own = own.join(main, F.col("p4") == F.col("r")).drop("r")
+    large = rows.filter(F.col("size") > SMALL).select("v", "n", F.col(f"p{least}").alias("region"))
+    own = large.join(labels.select(F.col("v").alias("u"), F.col("label.v").alias("c")), F.col("v") == F.col("u"), "left").select("v", "n", "region", F.coalesce("c", "v").alias("c"))
+    own = settle(own.join(sets.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("v", "n", "region", "c", "place", "start"))
+    counts = own.groupBy("region", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("region").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("several")).filter("several > 1").select(F.col("region").alias("r"), F.col("m.c").alias("main"), F.col("all"), (F.col("all") - F.col("m.k")).alias("outside"))
+    own = own.join(main, F.col("region") == F.col("r")).drop("r")
     member = F.struct("v", "c", "place", "start", "n")
     deal = lambda seed, total, size: F.pmod(F.xxhash64(F.lit(seed), "v"), F.ceil(total / size)).cast("int")
-    left = own.filter("c <> main").groupBy("p4", deal(1, F.col("outside"), OUTSIDE).alias("i")).agg(F.collect_list(member).alias("x"))
-    right = own.groupBy(F.col("p4").alias("r"), deal(2, F.col("all"), INSIDE).alias("j")).agg(F.collect_list(member).alias("y"))
-    items = left.join(right, F.col("p4") == F.col("r")).select("p4", "i", "j", "x", "y")
-    items = items.repartition(F.xxhash64("p4", "i", "j"))
+    left = own.filter("c <> main").groupBy("region", deal(1, F.col("outside"), OUTSIDE).alias("i")).agg(F.collect_list(member).alias("x"))
+    right = own.groupBy(F.col("region").alias("r"), deal(2, F.col("all"), INSIDE).alias("j")).agg(F.collect_list(member).alias("y"))
+    items = left.join(right, F.col("region") == F.col("r")).select("region", "i", "j", "x", "y")
+    items = items.repartition(F.xxhash64("region", "i", "j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +312,7 @@ def hidden(rows: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
                 (v, c, x), (u, d, y) = _block(row["x"]), _block(row["y"])
                 both = overlaps(x, y)
                 n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
-                linked = (100 * both >= PERCENT * (n[:, None] + m[None] - both)) & (c[:, None] != d[None])
+                linked = (100 * both >= percent * (n[:, None] + m[None] - both)) & (c[:, None] != d[None])
                 a, b = np.nonzero(linked)
                 if len(a):
                     first = np.unique(np.stack([a, d[b]]), axis=1, return_index=True)[1]
@@ -310,19 +322,20 @@ def hidden(rows: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return items.select("x", "y").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
+    least = least_depth(percent)
     sketches = settle(sketch(docs))
     classes = settle(sketches.filter("n > 0 and doc_id is not null").groupBy(F.col("key").alias("v")).agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("signature").alias("signature")))
-    rows = settle(crowded(prefixes(classes)))
-    pairs = settle(candidates(rows))
+    rows = settle(crowded(prefixes(classes, least), least))
+    pairs = settle(candidates(rows, least, percent))
     members = classes.select("v", "first", "n")
     touched = rows.select(F.col("v").alias("t")).distinct()
     some = settle(members.join(touched, F.col("v") == F.col("t"), "left_semi"))
     sets = write_sets(docs, some)
-    edges = settle(confirm(pairs, sets, members))
+    edges = settle(confirm(pairs, sets, members, percent))
     labels = components(some, edges)
-    more = settle(hidden(rows, labels, sets))
+    more = settle(hidden(rows, labels, sets, least, percent))
     if more.limit(1).count():
         labels = components(some, edges.union(more))
     component = labels.select(F.col("v").alias("u"), F.col("label.first").alias("component"))
@@ -350,12 +363,12 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return sure.unionByName(left.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group: of the rows that have the group's id, one.
 
     Only documents that may have to go are joined with the ids of those that do.
     """
-    found = settle(groups(docs))
+    found = settle(groups(docs, percent))
     gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     left = without(docs, gone)
     twice = settle(found.filter("kept").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("__twice"))

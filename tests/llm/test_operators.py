@@ -276,6 +276,19 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.groups(empty).count() == 0
 
 
+def test_near_dedup_takes_a_threshold(spark):
+    """Pairs of similarity between 0.80 and 0.85 are linked at 80 and not at 85; the pipeline asks for 80."""
+    import corpus_pipeline
+
+    base = [[f"d{k}w{i}" for i in range(204)] for k in range(6)]
+    # Four changed words far apart change 20 of 200 shingles: 180 of 220 are shared.
+    other = [[f"{w}x" if i in (20, 60, 100, 140) else w for i, w in enumerate(t)] for t in base]
+    rows = spark.createDataFrame([(2 * k + s, " ".join(t)) for k, pair in enumerate(zip(base, other)) for s, t in enumerate(pair)], "doc_id long, text string")
+    same = lambda percent: [r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in near_dedup.groups(rows, percent).collect() if r["doc_id"] % 2]
+    assert same(80) == [True] * 6 and same(85) == [False] * 6
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == [0, 2, 4, 6, 8, 10]
+
+
 def test_near_dedup_in_crowded_regions(spark, monkeypatch):
     """Copies with random edits: many of them share regions, some links stand near the threshold."""
     monkeypatch.setattr(near_dedup, "SMALL", 3)
