@@ -1,9 +1,11 @@
 """Hand-built edge cases of the engine's own operators."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quillmark import catalogue
 from quillmark.functions import scalar, search, vector
 from quillmark.operators import graph, projections, relational, timeseries, windows
 from quillmark.operators.recursive import fixpoint
@@ -106,6 +108,28 @@ def test_vector_edges(spark):
     assert one == vector.embed_one("x", 16) and abs(sum(x * x for x in one) - 1) < 1e-5
 
 
+def test_approximate_searches_reach_recall(spark):
+    """The registered searches, and their settings over rows with vec_id % 100 = 0, find 0.9 of the 10 nearest."""
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").repartition(1).cache()
+    rows = {r["vec_id"]: r["embedding"] for r in table.collect()}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()), float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def exact(q, metric):
+        q = np.array(q, float)
+        d = ((x - q) ** 2).sum(1) if metric == "l2" else -unit @ q
+        return set(ids[np.argsort(d, kind="stable")[:10]].tolist())
+
+    found = lambda df: {r["vec_id"] for r in df.collect()}
+    ivf = vector.IVF(table, "vec_id", "embedding", lists=16)
+    planes = vector.Hyperplanes(table, "vec_id", "embedding", 64, tables=catalogue.TABLES)
+    for name, metric, search in (("vec_ivf_probe", "l2", lambda q: ivf.search(q, 10, probes=catalogue.PROBES)), ("vec_planes_search", "cosine", lambda q: planes.search(q, 10))):
+        assert len(found(catalogue.QUERIES[name](spark, folder)) & exact(catalogue._V, metric)) >= 9, name
+        parts = [len(found(search(rows[i])) & exact(rows[i], metric)) / 10 for i in sorted(rows) if i % 100 == 0]
+        assert len(parts) >= 5 and sum(parts) >= 0.9 * len(parts), (name, parts)
+
+
 def edges(spark):
     rows = [("e1", "n", "a", "n", "b", "k", 1.0), ("e2", "n", "a", "n", "a", "k", 1.0), ("e3", "n", "b", "n", "c:d", "m", None), ("e4", "n", "a", "n", "c:d", "k", 5.0)]
     return spark.createDataFrame(rows, "edge_id string, source_type string, source_id string, target_type string, target_id string, edge_type string, weight double")
