@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import settle
+from .shared import released, settle
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of chunks that a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 SPECIAL = "<|endoftext|>"
 
 # Bytes that surely are no white space in any alphabet: printable ASCII, and lead bytes outside
@@ -150,6 +150,7 @@ def encode(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, ranks)
+        encoder.known.clear()
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
             for lo, hi in tc.slices(text):
@@ -172,7 +173,7 @@ def encode(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return df.select("doc_id", "text").mapInArrow(released(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(sizes: np.ndarray, capacity: int, open_bins: int) -> tuple[np.ndarray, np.ndarray]:

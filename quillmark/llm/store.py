@@ -1,11 +1,14 @@
-"""Sorted arrays in the shared folder: written by tasks, memory-mapped by workers."""
+"""Sorted arrays in the shared folder: written by tasks, memory-mapped by workers.
+
+Readers know from the model's list of shards which arrays exist, so an array that
+cannot be read is an error and fails the task.
+"""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import lru_cache
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -38,20 +41,41 @@ def save(path: str, **arrays: np.ndarray) -> None:
             store.move(part, inside)
 
 
-@lru_cache(4096)
+#: Bytes of arrays that a worker keeps copied or read at once, and files that it keeps mapped.
+KEPT_BYTES, KEPT_FILES = 64 << 20, 2048
+_kept: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def forget() -> None:
+    """Drops all arrays that this worker holds."""
+    _kept.clear()
+
+
 def load(path: str, name: str) -> np.ndarray:
-    """The array, memory-mapped; from a store without paths it is first copied beside the worker."""
+    """The array, memory-mapped; from a store without paths it is read into memory.
+
+    A worker keeps what it used last: mapped files by their number, arrays in
+    memory by their bytes.
+    """
     place = f"{path}-{name}.npy"
+    if place in _kept:
+        _kept.move_to_end(place)
+        return _kept[place]
     local = _local(place)
     if local is None:
         from pyarrow import fs
 
         store, inside = fs.FileSystem.from_uri(place)
-        local = os.path.join(tempfile.mkdtemp(prefix="arrays-"), os.path.basename(inside))
-        with store.open_input_stream(inside) as source, open(local, "wb") as out:
-            while block := source.read(1 << 24):
-                out.write(block)
-    return np.load(local, mmap_mode="r") if os.path.getsize(local) > 4096 else np.load(local)
+        with store.open_input_file(inside) as source:
+            array = np.load(source)
+    else:
+        array = np.load(local, mmap_mode="r") if os.path.getsize(local) > 4096 else np.load(local)
+    _kept[place] = array
+    held = sum(x.nbytes for x in _kept.values() if not isinstance(x, np.memmap))
+    while len(_kept) > KEPT_FILES or held > KEPT_BYTES and len(_kept) > 1:
+        _, old = _kept.popitem(last=False)
+        held -= 0 if isinstance(old, np.memmap) else old.nbytes
+    return array
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -53,6 +53,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def forget() -> None:
+    """Drops the tables of powers; they are made again when needed."""
+    _POWERS.clear()
+
+
 def combine(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Hash of the sequence hashed by ``a`` followed by ``b``."""
     with np.errstate(over="ignore"):
