@@ -9,11 +9,14 @@ whole words keep the model's size bounded by the alphabet instead of the
 vocabulary.
 
 A document is rejected by ``base_failed`` (fewer than ``min_words`` words, or
-more than a fifth of its words in repeated 5-word windows), because it has more
-than one symbol of ``#*$%&|<>`` for ten words, or because its bits per byte leave
-the band of its language.  The band is the language's median, less
-or more some multiples of the distance to its lower or upper decile, and is wider
-for short texts.
+more than a fifth of its words in repeated 5-word windows), or because one of two
+perplexities leaves the band of its language: bits per byte, and bits per word.
+Deviations from the language's median are standardised by the text's length, as
+the mean over n words spreads with 1/sqrt(n), and measured in units of their
+quartiles on either side, which single odd documents do not move; the bands end
+``Z`` such units from the median.  Apart from that, a text with more than one
+symbol of ``#*$%&|<>`` for ten words is rejected as markup or a table; the columns
+``band_failed`` and ``symbols_failed`` show which rule decided.
 
 Defined results: a null text has no words, all counts 0 and no bits, and fails;
 a null ``lang`` is a language of its own; repeated rows are measured each; other
@@ -36,18 +39,24 @@ from pyspark.sql import functions as F
 from . import store
 from . import textcore as tc
 from .lm_scoring import discounts, summed
-from .shared import parts, settle, shared_dir
+from .shared import parts, released, settle, shared_dir
 
 ORDER = 5
+#: Texts are handled in slices of about this many bytes, as the arrays of grams are many times as large.
+SLICE = 2 << 20
 #: A task sends its counts when it holds so many grams.
 FLUSH = 1_000_000
 MIN_WORDS = 10
 #: Symbols for each word beyond which a text counts as markup or a table.
 MAX_SYMBOLS = 0.1
-#: Multiples of the distance from median to decile that bound the band.
-LOW, HIGH = 8.0, 12.0
-#: Bytes of text at which a band is a tenth wider than for very long texts.
-SHORT = 200.0
+#: Standard deviations, estimated from quartiles, that bound the bands.
+Z = 4.0
+#: Distance from the median to a quartile of the normal distribution, in standard deviations.
+QUARTILE = 0.6745
+#: Words from which on a longer text does not narrow the band further.
+LONG = 1000.0
+#: Languages up to which their bands are broadcast; beyond it, they are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -97,7 +106,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         held_k, held_c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             text, lang = batch.column(0), batch.column(1)
-            for lo, hi in tc.slices(text):
+            for lo, hi in tc.slices(text, SLICE):
                 keys, word, back, *_ = _distinct_words(text.slice(lo, hi - lo), lang.slice(lo, hi - lo))
                 times = np.bincount(back, minlength=int(word[-1]) + 1 if len(word) else 0)
                 keys, c = summed(keys, times[word])
@@ -107,13 +116,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     held_k, held_c = held_k[:0], held_c[:0]
         yield pa.RecordBatch.from_arrays([pa.array(held_k.view(np.int64)), pa.array(held_c)], ["key", "c"])
 
-    return docs.select("text", F.col("lang").cast("string")).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text", F.col("lang").cast("string")).mapInArrow(released(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
 class Model:
+    """The arrays' place, how many shards there are, and which of them have rows."""
+
     path: str
     shards: int
+    there: frozenset[int]
     discounts: tuple[tuple[float, float, float], ...]
 
 
@@ -145,8 +157,8 @@ def train(docs: DataFrame) -> Model:
             store.save(f"{path}/{name}-{shard:05d}", hash=h[order], values=values)
         return pa.table({"shard": pa.array([shard], pa.int32()), "rows": pa.array([len(h)], pa.int64())})
 
-    rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInArrow(write, "shard int, rows long").agg(F.sum("rows")).collect()
-    return Model(path, shards, found)
+    written = rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInArrow(write, "shard int, rows long").collect()
+    return Model(path, shards, frozenset(r["shard"] for r in written), found)
 
 
 def gram_hash(key: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -160,11 +172,10 @@ class Scorer:
     def _values(self, name: str, key: np.ndarray, n: int) -> np.ndarray:
         h, shard = gram_hash(key, n), key.view(np.int64) % self.m.shards
         out = np.zeros((4 if name == "context" else 1, len(key)), np.int64)
-        for k in np.unique(shard):
-            try:
-                keys, values = (store.load(f"{self.m.path}/{name}-{k:05d}", x) for x in ("hash", "values"))
-            except OSError:
+        for k in np.unique(shard).tolist():
+            if k not in self.m.there:
                 continue
+            keys, values = (store.load(f"{self.m.path}/{name}-{k:05d}", x) for x in ("hash", "values"))
             own = np.flatnonzero(shard == k)
             own = own[np.argsort(h[own])]
             at, there = store.find(keys, h[own])
@@ -229,76 +240,90 @@ def _measured(model: Model, text: pa.Array, lang: pa.Array) -> dict[str, np.ndar
     out["n_bytes"] = np.bincount(row, weights=size[back], minlength=len(n)).astype(np.int64)
     total = np.bincount(row, weights=of_word[back], minlength=len(n))
     out["bits"] = np.where(out["n_bytes"] > 0, -total / np.maximum(out["n_bytes"], 1), np.nan)
+    out["word_bits"] = np.where(out["n_words"] > 0, -total / np.maximum(out["n_words"], 1), np.nan)
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
     return out
 
 
-MEASURES = ", ".join(f"{c} long" for c in COUNTS) + ", n_bytes long, bits double, base_failed boolean"
+MEASURES = ", ".join(f"{c} long" for c in COUNTS) + ", n_bytes long, bits double, word_bits double, base_failed boolean"
+PERPLEXITIES = ("bits", "word_bits")
 
 
 def measure(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, lang and the measures; bits is null without words."""
+    """The rows of ``docs`` (columns text and lang among them) with the measures beside them; bits are null without words."""
+    names = list(docs.columns)
+    text_at, lang_at = names.index("text"), names.index("lang")
+    leave = names == ["doc_id", "lang", "text"]  # then texts need not come back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, lang, text = batch.columns
-            for lo, hi in tc.slices(text):
+            text, lang = batch.column(text_at), batch.column(lang_at)
+            for lo, hi in tc.slices(text, SLICE):
                 out = _measured(model, text.slice(lo, hi - lo), lang.slice(lo, hi - lo))
-                cols = [pa.array(x, from_pandas=True) for x in out.values()]
-                yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo), lang.slice(lo, hi - lo), *cols], ["doc_id", "lang", *out])
+                own = batch.slice(lo, hi - lo)
+                cols = [*(own.columns[:2] if leave else own.columns), *(pa.array(x, from_pandas=True) for x in out.values())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*(names[:2] if leave else names), *out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id long, lang string, {MEASURES}")
+    kept = docs.schema.fields[:2] if leave else docs.schema.fields
+    return docs.mapInArrow(released(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), MEASURES]))
 
 
 def bands(measures: DataFrame) -> DataFrame:
-    """Lower and upper bits per byte by language, from the documents that pass the base rules."""
-    q = F.percentile_approx("bits", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 10_000)
-    sound = measures.filter("not base_failed and bits is not null")
-    return sound.groupBy("lang").agg(q.alias("q")).select("lang", *((F.col("q")[i]).alias(f"q{i}") for i in range(3)))
+    """By language (band_lang): middle, lower and upper unit of each perplexity.
+
+    Taken from the documents that pass the base rules; the units are robust
+    standard deviations of the deviations times ``narrows``.
+    """
+    sound = measures.filter("not base_failed and bits is not null").select("lang", "n_words", *PERPLEXITIES)
+    middle = sound.groupBy(F.col("lang").alias("m_lang")).agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in PERPLEXITIES))
+    rows = with_bands(sound, middle, "m_lang")
+    quarter = lambda c: F.percentile_approx((F.col(c) - F.col(f"{c}_mid")) * narrows(), F.array(F.lit(0.25), F.lit(0.75)), 10_000)
+    rows = rows.groupBy(F.col("lang").alias("band_lang")).agg(*(x for c in PERPLEXITIES for x in (F.first(f"{c}_mid").alias(f"{c}_mid"), quarter(c).alias(f"{c}_q"))))
+    least = lambda c, x: F.greatest(x / QUARTILE, 0.01 * F.col(f"{c}_mid"))
+    return rows.select("band_lang", *(x for c in PERPLEXITIES for x in (f"{c}_mid", least(c, -F.col(f"{c}_q")[0]).alias(f"{c}_low"), least(c, F.col(f"{c}_q")[1]).alias(f"{c}_up"))))
+
+
+def narrows() -> Column:
+    """What a text's length multiplies deviations by, so that short and long texts spread alike."""
+    return 1 / F.sqrt(1 / F.greatest(F.col("n_words").cast("double"), F.lit(1.0)) + 1 / LONG)
 
 
-def within(bits: Column, n_bytes: Column, q0: Column, q1: Column, q2: Column, low: float = LOW, high: float = HIGH) -> Column:
-    wider = 1 + 0.1 * SHORT / F.greatest(n_bytes.cast("double"), F.lit(1.0))
-    floor = 0.02 * q1
-    return (bits >= q1 - low * F.greatest(q1 - q0, floor) * wider) & (bits <= q1 + high * F.greatest(q2 - q1, floor) * wider)
+def with_bands(measures: DataFrame, found: DataFrame, key: str = "band_lang") -> DataFrame:
+    """Measures beside their language's row; it is broadcast when there are few languages."""
+    found = settle(found)
+    few = found.count() <= BROADCAST_LANGUAGES
+    return measures.join(F.broadcast(found) if few else found, measures["lang"].eqNullSafe(found[key]), "left")
 
 
-def passes() -> Column:
-    """The verdict, where the measures stand beside the band (q0, q1, q2) of the language."""
-    ok = within(*(F.col(c) for c in ("bits", "n_bytes", "q0", "q1", "q2")))
-    return ~F.col("base_failed") & (F.col("n_symbols") <= MAX_SYMBOLS * F.col("n_words")) & F.coalesce(ok, F.lit(True))
+def band_failed() -> Column:
+    """Whether a perplexity is outside the band that stands beside it; without words or band, it is not."""
+    out = F.lit(False)
+    for c in PERPLEXITIES:
+        z = (F.col(c) - F.col(f"{c}_mid")) * narrows()
+        out = out | (z < -Z * F.col(f"{c}_low")) | (z > Z * F.col(f"{c}_up"))
+    return F.coalesce(out, F.lit(False))
+
+
+def judged(measures: DataFrame) -> DataFrame:
+    """The measures with band_failed, symbols_failed and kept."""
+    rows = with_bands(measures, bands(measures)).withColumns({"band_failed": band_failed(), "symbols_failed": F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")})
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("band_failed") & ~F.col("symbols_failed"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    Texts are measured once for the bands and once more where they are judged,
-    so that they need not move between tasks; only the bands are joined.
+    Documents are settled with their measures, so texts are measured once and
+    never move between tasks; only the bands are joined.
     """
-    model = train(docs)
-    b = bands(measure(docs, model))
-    limits = {r["lang"]: (r["q0"], r["q1"], r["q2"]) for r in b.collect()}
     names = list(docs.columns)
-    text_at, lang_at = names.index("text"), names.index("lang")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, lang = batch.column(text_at), batch.column(lang_at)
-            for lo, hi in tc.slices(text):
-                own = lang.slice(lo, hi - lo)
-                out = _measured(model, text.slice(lo, hi - lo), own)
-                q0, q1, q2 = np.array([limits.get(x, (np.nan,) * 3) for x in own.to_pylist()]).reshape(-1, 3).T
-                with np.errstate(invalid="ignore"):
-                    wider = 1 + 0.1 * SHORT / np.maximum(out["n_bytes"], 1)
-                    outside = (out["bits"] < q1 - LOW * np.maximum(q1 - q0, 0.02 * q1) * wider) | (out["bits"] > q1 + HIGH * np.maximum(q2 - q1, 0.02 * q1) * wider)
-                good = ~out["base_failed"] & (out["n_symbols"] <= MAX_SYMBOLS * out["n_words"]) & ~outside
-                yield batch.slice(lo, hi - lo).filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    inner = docs.select(F.col("text"), F.col("lang").cast("string").alias("lang"), F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("rest"))
+    rows = judged(settle(measure(inner, train(docs)))).filter("kept")
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in names))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """The measures of each document with ``kept``."""
-    m = settle(measure(docs, train(docs)))
-    b = bands(m).withColumnRenamed("lang", "band_lang")
-    return m.join(b, m["lang"].eqNullSafe(b["band_lang"]), "left").select("doc_id", *COUNTS, "base_failed", passes().alias("kept"), "bits", "lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    m = judged(settle(measure(rows, train(docs))))
+    return m.select("doc_id", *COUNTS, "base_failed", "kept", "bits", "word_bits", "band_failed", "symbols_failed", "lang")
