@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits for each marked key, and most bits of a bitmap of marks; it is broadcast, so of bounded size.
+BITS_EACH, MARK_BITS = 32, 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +71,24 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
+def marked(rows: DataFrame, keys: DataFrame, key: str, column: str = "doc_id") -> DataFrame:
+    """``rows`` with __marked: true for all whose ``column`` is among the values of ``keys.key``, and for few others.
+
+    A bitmap of hashed values, of bounded size and so broadcast, tells rows apart
+    where they are read.  Where keys are so many that it fills up, more rows are
+    marked.  Rows without a value are not marked.
+    """
+    bits = min(max(1 << (BITS_EACH * max(1, keys.count()) - 1).bit_length(), 1 << 16), MARK_BITS)
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    marks = keys.groupBy(F.bitmap_bucket_number(bit(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(key))).alias("__bits"))
+    found = rows.withColumn("__bit", F.when(F.col(column).isNotNull(), bit(column)))
+    found = found.join(F.broadcast(marks), F.bitmap_bucket_number("__bit") == F.col("__bucket"), "left")
+    place = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8).cast("int") + 1)) != 0, F.lit(False))
+    return found.select(*(f"`{c}`" for c in rows.columns), on.alias("__marked"))
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers
