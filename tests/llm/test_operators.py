@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import exact_topk, html_extract, language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, queries
-from quillmark.llm.shared import tokenizer_file
+from quillmark.llm.shared import marked, tokenizer_file
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, extra string, i int, exact string, taken int, v int"
 LONG = " ".join(f"w{i % 997} The{i}" for i in range(6000))
@@ -217,6 +217,33 @@ def test_line_dedup_with_more_edits_equals_brute_force(spark, monkeypatch, small
         assert got[i][0]["n_near"] == int(near), x
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    """Two different documents share an id: neither loses lines or leaves because of the other."""
+    a, b = "first own line of some length\nthe line that both of them have here", "some other text of that same id\nvaluable unique content that must stay"
+    rows = spark.createDataFrame([(1, "the line that both of them have here"), (2, a), (2, b), (2, b), (5, a), (3, None)], "doc_id long, text string")
+    got = sorted(str(r["text"]) for r in line_dedup.clean(rows).collect() if r["doc_id"] == 2)
+    assert got == [a.split("\n")[0], b, b]
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "pq"]
+    rows = spark.createDataFrame([(1, long[0]), (2, long[0]), (2, long[1]), (2, long[1]), (None, long[0]), (3, None), (3, None)], "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in near_dedup.first_of_each(rows).collect())
+    assert kept == sorted([("1", long[0]), ("2", long[1]), ("None", long[0]), ("3", "None"), ("3", "None")])
+
+
+def test_near_dedup_over_many_ranges(spark, monkeypatch):
+    """Sorted orders cut into many short ranges lose no neighbour."""
+    rng = np.random.default_rng(3)
+    base = [[f"k{k}w{i}" for i in range(80)] for k in range(12)]
+    rows = []
+    for k in range(60):
+        w = list(base[k % 12])
+        if k >= 12:
+            w[int(rng.integers(70, 80))] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "parts", lambda *a, **b: 90)
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(brute_groups(rows))
+
+
 def test_mix(spark, docs, empty):
     rows = mixing.plan(docs).collect()
     size = {}
@@ -429,12 +456,13 @@ def test_query_matches_its_sql(name, same_as_duckdb):
     same_as_duckdb(queries.QUERIES[name], queries.ORACLES[name])
 
 
-def test_without_and_repeated_rows_at_the_cut(spark):
+def test_marks_and_repeated_rows_at_the_cut(spark):
     rows = [(i if i % 7 else None, f"text {i}") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "__gone long")
-    left = near_dedup.without(docs, gone)
-    assert sorted(map(str, left.collect())) == sorted(map(str, docs.filter("doc_id is null or doc_id % 3 <> 0").collect()))
+    rows = marked(docs, gone, "__gone").collect()
+    assert len(rows) == 500 and all(r["__marked"] for r in rows if r["doc_id"] is not None and r["doc_id"] % 3 == 0)
+    assert sum(r["__marked"] for r in rows if r["doc_id"] is None or r["doc_id"] % 3) <= 25 and not any(r["__marked"] for r in rows if r["doc_id"] is None)
     same = spark.createDataFrame([(1, "a", "u v w")] * 5 + [(2, "b", "x y")], "doc_id long, source string, text string")
     mixed = mixing.mix(same)
     taken = mixing.plan(same).groupBy("source").sum("taken").collect()
