@@ -451,6 +451,31 @@ def test_exact_top_k(spark):
     assert exact_topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_exact_vectors_are_read_by_bound_only(tmp_path):
+    from quillmark.llm import store
+
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(size=(4000, 32))).astype(np.int64)
+    shift = exact_topk.shift_of(v)
+    place = f"{tmp_path}/block"
+    store.save(place, id=np.arange(4000), exact=v, cell=(v >> shift).astype(np.int8), head=np.array([shift, exact_topk.largest(v)]))
+    best = [[] for _ in range(20)]
+    read = exact_topk.search_block(v[:20], np.arange(20), place, True, best, 5)
+    scores = v[:20] @ v.T
+    for i in range(20):
+        assert best[i] == sorted((-int(scores[i, j]), j) for j in range(4000) if j != i)[:5]
+    assert read < 0.2 * 20 * 4000
+    assert isinstance(store.load(place, "exact"), np.memmap)
+
+
+def test_exact_top_k_of_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.5, 0.0]), (50, [0.25, 0.0])]
+    df = spark.createDataFrame([(*r, "q", 1) for r in rows], "id long, vector array<float>, score string, rank int")
+    got = sorted(map(tuple, exact_topk.top_k(df, F.col("id") % 50 == 0).collect()))
+    assert [r for r in got if r[0] == 0] == [(0, 1, 1, 65536), (0, 2, 50, 32768), (0, 3, 50, 16384)]
+    assert len({(r[0], r[1]) for r in got}) == len(got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(name, same_as_duckdb):
     same_as_duckdb(queries.QUERIES[name], queries.ORACLES[name])
