@@ -13,9 +13,15 @@ The trees are trained when the model is first needed, on a fixed set of page
 layouts that this module generates with known labels (``PAGES`` of them, with a
 fixed seed): no page has labels, and layouts rather than words decide.
 
+What is hidden, by the attribute ``hidden``, by ``aria-hidden="true"`` or by a style
+of ``display: none`` or ``visibility: hidden``, is no part of the text, nor is what
+stands inside it.
+
 Defined results: a null, empty or text-free page gives an empty string; broken
-markup is read as far as it goes; repeated rows are extracted each; an empty
-table gives an empty result; columns besides page_id, url and html are ignored.
+markup is read as far as it goes; a page is one tree in memory, however long, wide
+or deep, and is read in linear time; repeated rows are extracted each; an empty
+table gives an empty result; columns besides page_id, url and html are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,10 +48,13 @@ NEVER = RAW | frozenset("head select option datalist button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr input".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th")}
 STOPS = frozenset("ul ol dl table div section article main body td th form aside nav header footer".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"""\b(id|class|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Attributes as HTML reads them: an unquoted value may hold quotes; a quote without its partner is a character.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|=|[^\s=>/]++(?:{_VALUE})?+)*+)>", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
+NAMED = ("id", "class", "role", "itemprop", "aria-label")
 PIECE = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
 GOOD = frozenset("article body content main post story entry text prose blog news page hentry lede".split())
 GROUPS = [
@@ -60,19 +70,30 @@ GROUPS = [
 TAGS = ["p", "div", "section", "article", "main", "h1", "h2", "h3", "ul", "li", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "figure", "dl", "body"]
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case and values; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        value = m[2] or m[3] or m[4] or ""
+        out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return out
+
+
+def unseen(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(attrs.get("style", "")))
+
+
 class Node:
     __slots__ = ("tag", "parent", "kids", "items", "groups", "own", "linked", "hidden")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str) -> None:
+    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]) -> None:
         self.tag, self.parent, self.kids, self.items = tag, parent, [], []
         self.own = self.linked = self.groups = 0
-        self.hidden = False
-        if attrs:
-            tokens = {t for m in NAMED.finditer(attrs) for t in PIECE.findall((m[2] or m[3] or m[4] or "").lower())}
-            for k, group in enumerate(GROUPS):
-                if tokens & group:
-                    self.groups |= 1 << k
-            self.hidden = bool(HIDDEN.search(attrs))
+        self.hidden = unseen(attrs) or parent is not None and parent.hidden
+        tokens = {t for k in NAMED if k in attrs for t in PIECE.findall(attrs[k].lower())}
+        for k, group in enumerate(GROUPS):
+            if tokens & group:
+                self.groups |= 1 << k
         if parent is not None:
             parent.kids.append(self)
             parent.items.append(self)
@@ -80,11 +101,17 @@ class Node:
 
 def parse(page: str) -> list[Node]:
     """Block nodes in page order, the root first; texts stand in their nodes' items."""
-    root = Node("html", None, "")
-    nodes, open_, links = [root], [("html", root)], 0
+    root = Node("html", None, {})
+    nodes, links, veils = [root], 0, 0
+    # Open blocks and, of inline elements, links and hidden ones: tag, block, whether it hides inline text.
+    open_: list[tuple[str, Node, bool]] = [("html", root, False)]
+    opened = Counter(["html"])
     at, size = 0, len(page)
+    last = max(page.rfind(">"), page.rfind("<!--"))
 
     def text(raw: str) -> None:
+        if veils:
+            return
         node = open_[-1][1]
         value = html.unescape(raw) if "&" in raw else raw
         node.items.append(value)
@@ -94,13 +121,15 @@ def parse(page: str) -> list[Node]:
             node.linked += n
 
     def close(upto: int) -> None:
-        nonlocal links
+        nonlocal links, veils
         while len(open_) > upto:
-            tag, _ = open_.pop()
+            tag, _, veil = open_.pop()
+            opened[tag] -= 1
             links -= tag == "a"
+            veils -= veil
 
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if m is None:
             text(page[at:])
             break
@@ -111,23 +140,29 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         if m[1]:
+            if not opened[tag]:
+                continue
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == tag:
-                    if tag not in INLINE:
-                        close(k)
-                    elif all(t in INLINE for t, _ in open_[k:]):
+                    if tag not in INLINE or all(t in INLINE for t, *_ in open_[k:]):
                         close(k)
                     break
             continue
         node = open_[-1][1]
+        attrs = attributes(m[3]) if m[3] else {}
         if tag in INLINE:
             if tag == "br":
                 node.items.append(" ")
-            if tag not in VOID and not m[3].endswith("/"):
-                open_.append((tag, node))
+            veil = bool(attrs) and unseen(attrs)
+            if tag not in VOID and not m[3].endswith("/") and (tag == "a" or veil):
+                if tag == open_[-1][0] == "a":
+                    close(len(open_) - 1)
+                open_.append((tag, node, veil))
+                opened[tag] += 1
                 links += tag == "a"
+                veils += veil
             continue
-        if tag == "html" or tag == "body" and any(t == "body" for t, _ in open_):
+        if tag == "html" or tag == "body" and opened["body"]:
             continue
         for k in range(len(open_) - 1, 0, -1):
             t = open_[k][0]
@@ -137,13 +172,14 @@ def parse(page: str) -> list[Node]:
                     break
             elif t in STOPS:
                 break
-        node = Node(tag, open_[-1][1], m[3])
+        node = Node(tag, open_[-1][1], attrs)
         nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
         elif tag not in VOID:
-            open_.append((tag, node))
+            open_.append((tag, node, False))
+            opened[tag] += 1
     return nodes
 
 
@@ -165,6 +201,10 @@ def features(nodes: list[Node]) -> np.ndarray:
         paragraphs[p] += paragraphs[i]
     total = max(text[0], 1)
     depth, path, tags_above = [0] * n, [0] * n, [0] * n
+    alike = Counter((p, x.tag) for p, x in zip(parent[1:], nodes[1:]))
+    below = [0] * n
+    for p, x in zip(parent[1:], nodes[1:]):
+        below[p] |= x.groups
     kind = {t: k for k, t in enumerate(TAGS)}
     before = 0
     out = np.zeros((n, 22 + len(TAGS) + 3 * len(GROUPS)), np.float32)
@@ -174,9 +214,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             depth[i] = depth[p] + 1
             path[i] = path[p] | nodes[p].groups
             tags_above[i] = tags_above[p] | (1 << kind[nodes[p].tag] if nodes[p].tag in kind else 0)
-        kids = nodes[p].kids if i else [x]
-        at = len(kids)
-        like = sum(k.tag == x.tag for k in kids) if at < 400 else at
+        at, like = (len(nodes[p].kids), alike[p, x.tag]) if i else (1, 1)
         pt = max(text[p], 1)
         row = out[i]
         row[:22] = (
@@ -188,11 +226,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         for k in range(len(GROUPS)):
             row[22 + len(TAGS) + k] = x.groups >> k & 1
             row[22 + len(TAGS) + len(GROUPS) + k] = path[i] >> k & 1
-        below = 0
-        for kid in x.kids[:50]:
-            below |= kid.groups
         for k in range(len(GROUPS)):
-            row[22 + len(TAGS) + 2 * len(GROUPS) + k] = below >> k & 1
+            row[22 + len(TAGS) + 2 * len(GROUPS) + k] = below[i] >> k & 1
         before += x.own if x.tag not in NEVER else 0
     return out
 

@@ -392,6 +392,45 @@ def test_main_text_keeps_the_article():
     assert html_extract.extract([page, "", "<<>><p"], html_extract.trained())[0] == "Head & line One two three x Last words of it all, in a row."
 
 
+def page_of(body):
+    return f"<html><head><title>T</title></head><body><nav><ul><li><a href=a>A</a></li><li><a href=b>B</a></li></ul></nav><article><h1>Head line</h1>{body}</article><footer>&copy; Us</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<p class="overflow-hidden">One two three four five.</p><p>Six seven eight nine.</p>', "One two three four five. Six seven eight nine."),
+        ('<p aria-hidden="false">One two three four five.</p><p>Six seven eight nine.</p>', "One two three four five. Six seven eight nine."),
+        ('<p>Six seven eight nine ten.</p><div style="display:none"><p>Not to be seen by anyone.</p></div><p>Eleven twelve.</p>', "Six seven eight nine ten. Eleven twelve."),
+        ('<p>Six seven <span hidden>not <b>seen</b></span>eight nine ten.</p><p hidden>Not seen here.</p><p>Eleven twelve words.</p>', "Six seven eight nine ten. Eleven twelve words."),
+        ("<p data-t=it's>One two three four five.</p><p>It's six seven eight nine.</p>", "One two three four five. It's six seven eight nine."),
+        ('<p title="a > b" data-x=1>One two three &lt;b&gt; four.</p><p>5 < 6 and 7 > 2, is it not?</p>', "One two three <b> four. 5 < 6 and 7 > 2, is it not?"),
+    ],
+)
+def test_main_text_of_written_pages(body, text):
+    assert html_extract.extract([page_of(body)], html_extract.trained()) == ["Head line " + text]
+
+
+def test_main_text_of_wide_deep_and_long_pages():
+    model = html_extract.trained()
+    wide = page_of("".join(f"<p>Paragraph number {i} has some words in it.</p>" for i in range(1500)))
+    assert html_extract.extract([wide], model)[0] == "Head line " + " ".join(f"Paragraph number {i} has some words in it." for i in range(1500))
+    deep = page_of("<div>" * 20_000 + "<p>Some words that stand very deep.</p>" + "</div>" * 20_000)
+    assert isinstance(html_extract.extract([deep], model)[0], str)
+    long = "word " * 200_000
+    assert html_extract.extract([page_of(f"<p>{long}</p>")], model)[0] == "Head line " + long.strip()
+    for broken in ("<b>" * 30_000 + "x", "<a href=x>" * 30_000, "<p" * 20_000, '<p a="' * 5_000):
+        html_extract.extract([broken], model)
+
+
+def test_main_text_features_are_exact():
+    """A comment box after many children counts for its parent, and equal tags are counted however many they are."""
+    nodes = html_extract.parse("<div>" + "<p>a b c</p>" * 450 + "<div class=comments>x</div></div>")
+    x = html_extract.features(nodes)
+    assert x[1, 22 + len(html_extract.TAGS) + 2 * len(html_extract.GROUPS) + 5] == 1
+    assert x[2, 12] == pytest.approx(450 / 451) and x[-1, 12] == pytest.approx(1 / 451)
+
+
 def test_main_text_on_unseen_layouts():
     make, exact, n = html_extract.Layouts(2024), 0, 0
     for _ in range(120):
@@ -422,6 +461,8 @@ def test_main_text_query(spark):
     rows = [(1, "u", None, 9), (2, None, "<article><p>Hello there, you all.</p></article>", 9), (2, None, "<article><p>Hello there, you all.</p></article>", 9)]
     got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in got] == [(1, "", 0), (2, "Hello there, you all.", 21), (2, "Hello there, you all.", 21)]
+    none = html_extract.main_text(spark.createDataFrame([], "page_id int, url string, html string, text int, n_chars string"))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]
 
 
 def test_language(spark, docs, empty):
