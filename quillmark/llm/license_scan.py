@@ -1,16 +1,19 @@
 """Licence scans with a positional index over the rare words of licence templates.
 
 Native: DataFrame functions only.  A first pass counts in how many documents each
-template word occurs; the second does the rest row by row.  For each document it
+template word occurs.  The index is built from that: a template's anchors are its
+places of highest inverse document frequency, one more than may disagree, so that
+an offset which is accepted has an anchor that agrees; the index has the postings
+(template, place) of each anchor word.  The second pass goes row by row.  It
 
-1. finds its licence words and the templates whose mandatory words it all has and
-   whose mandatory key phrase stands in it word by word,
-2. looks the places of these templates' anchors up: a template's anchors are its
-   places of highest inverse document frequency, one more than may disagree, so an
-   offset that is accepted has an anchor that agrees,
-3. intersects them by relative position: each pair of places names an offset, and
-   at each offset the template's words are compared with the document's,
-4. accepts a template when enough words agree at one offset.
+1. finds the document's anchor words; most documents have none and are done,
+2. looks up the postings of each place where one stands, and intersects them by
+   relative position: each names a template and an offset,
+3. compares the template's words with the document's at each such offset,
+4. accepts a template when enough words agree at one offset and its mandatory key
+   phrase stands in the document word by word.
+
+No posting and no place is left out, so a document may get any number of labels.
 
 Base labels come from three exact phrases and always stay.
 
@@ -51,10 +54,25 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc-by", "licensed under cc by 4 0", "licensed under cc by 4"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed under the license is distributed on an as is basis"),
+    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "free software foundation either version 3"),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "free software foundation either version 2"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("bsl-1", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("ofl-1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("artistic-2", "this work is licensed under the artistic license 2 0", "artistic license 2 0"),
+    ("eupl-1", "licensed under the european union public licence v 1 2", "european union public licence"),
+    ("odbl-1", "this database is made available under the open database license", "open database license"),
 ]
 #: Part of a template's words that must agree at one offset.
 AGREE = 0.6
-VOCABULARY = sorted({w for _, text, key in TEMPLATES for w in f"{text} {key}".split()})
+VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _any_phrase() -> str:
@@ -67,15 +85,16 @@ def _strings(values: list[str]) -> Column:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """``words`` (lower case) and ``known``, its distinct template words."""
+    """``text`` and its ``words``, with A-Z in lower case."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(F.lower(text), f"{GAP}+"), "").alias("words"))
-    return rows.withColumn("known", F.array_intersect("words", _strings(VOCABULARY)))
+    low = F.translate(text, UPPER, UPPER.lower())
+    return docs.select("doc_id", text.alias("text"), F.array_remove(F.split(low, f"{GAP}+"), "").alias("words"))
 
 
 def rarity(docs: DataFrame) -> dict[str, float]:
     """Inverse document frequency of each template word over all documents."""
-    known = _words(docs).select(F.explode(F.concat("known", F.array(F.lit("")))).alias("word"))
+    known = F.array_intersect("words", _strings(VOCABULARY))
+    known = _words(docs).select(F.explode(F.concat(known, F.array(F.lit("")))).alias("word"))
     df = {r["word"]: r["n"] for r in known.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = df.get("", 0)
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
@@ -90,27 +109,28 @@ def anchors(words: list[str], idf: dict[str, float]) -> list[int]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     idf = rarity(docs)
-    postings = lambda text: F.array(*(F.struct(F.lit(text[j]).alias("w"), F.lit(j).alias("j")) for j in anchors(text, idf)))
-    templates = F.array(*(F.struct(F.lit(label).alias("label"), _strings(text.split()).alias("words"), postings(text.split()).alias("anchors"), F.lit(f" {key} ").alias("key"), _strings(sorted(set(key.split()))).alias("must")) for label, text, key in TEMPLATES))
-
-    rows = _words(docs)
-    fits = F.filter(templates, lambda t: F.size(F.array_except(t["must"], F.col("known"))) == 0)
-    rows = rows.withColumn("fits", fits)
-    rows = rows.withColumn("line", F.when(F.size("fits") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
-    rows = rows.withColumn("fits", F.filter("fits", lambda t: F.contains(F.col("line"), t["key"])))
-    some = F.size("fits") > 0
-    rows = rows.withColumn("anchors", F.when(some, F.array_distinct(F.flatten(F.transform("fits", lambda t: t["anchors"]["w"])))))
-    rows = rows.withColumn("at", F.when(some, F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("anchors"), x["w"]))))
-
-    def offsets(t: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(F.filter(t["anchors"], lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["j"]))))
-
-    def agreement(t: Column, offset: Column) -> Column:
-        same = F.filter(t["words"], lambda w, j: (offset + j >= 0) & (F.get("words", offset + j) == w))
-        return F.size(same) / F.size(t["words"])
-
-    placed = F.transform("fits", lambda t: F.struct(t["label"].alias("label"), F.array_max(F.transform(offsets(t), lambda o: agreement(t, o))).alias("part")))
-    rows = rows.withColumn("found", F.filter(F.when(some, placed), lambda x: x["part"] >= AGREE))
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, text, _) in enumerate(TEMPLATES):
+        for j in anchors(text.split(), idf):
+            postings.setdefault(text.split()[j], []).append((t, j))
+    index = F.create_map(*(x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(j).alias("j")) for t, j in ps)))))
+    templates = F.array(*(F.struct(F.lit(label).alias("label"), _strings(text.split()).alias("words"), F.lit(f" {key} ").alias("key")) for label, text, key in TEMPLATES))
+
+    rows = _words(docs).withColumn("rare", F.array_intersect("words", _strings(sorted(postings))))
+    some = F.size("rare") > 0
+    rows = rows.withColumn("at", F.when(some, F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rare", x["w"]))))
+    named = F.transform("at", lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["j"]).alias("offset"))))
+    rows = rows.withColumn("named", F.array_distinct(F.flatten(named)))
+
+    def agreement(c: Column) -> Column:
+        words = F.get(templates, c["t"])["words"]
+        same = F.filter(words, lambda w, j: (c["offset"] + j >= 0) & (F.get("words", c["offset"] + j) == w))
+        return F.size(same) / F.size(words)
+
+    placed = F.transform("named", lambda c: F.struct(c["t"].alias("t"), agreement(c).alias("part")))
+    rows = rows.withColumn("placed", F.filter(placed, lambda x: x["part"] >= AGREE))
+    rows = rows.withColumn("line", F.when(F.size("placed") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
+    rows = rows.withColumn("found", F.when(F.size("placed") > 0, F.filter(F.transform("placed", lambda x: F.struct(F.get(templates, x["t"])["label"].alias("label"), F.get(templates, x["t"])["key"].alias("key"), x["part"].alias("part"))), lambda x: F.contains(F.col("line"), x["key"]))))
 
     pattern = _any_phrase()
     has = F.col("text").rlike(pattern)

@@ -359,6 +359,33 @@ def test_licenses_with_several_notices(spark):
         assert set(found[k][0]["labels"].split(",")) >= labels, t
 
 
+def test_licenses_equal_brute_force(spark):
+    """Random mixtures of damaged notices: every template at every offset, with its key phrase."""
+    rng = np.random.default_rng(11)
+    vocabulary, rows = license_scan.VOCABULARY, []
+    for d in range(120):
+        words_ = []
+        for _ in range(int(rng.integers(1, 6))):
+            own = license_scan.TEMPLATES[int(rng.integers(len(license_scan.TEMPLATES)))][1].split()
+            for k in range(len(own)):
+                if rng.random() < 0.08:
+                    own[k] = vocabulary[int(rng.integers(len(vocabulary)))] if rng.random() < 0.5 else "zz"
+            words_ += own + [vocabulary[int(rng.integers(len(vocabulary)))] for _ in range(int(rng.integers(4)))]
+        rows.append((d, " ".join(words_).upper()))
+    found = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    for d, t in rows:
+        w, labels, best = t.lower().split(), set(), 0.0
+        for label, text, key in license_scan.TEMPLATES:
+            own = text.split()
+            part = max(sum(0 <= o + j < len(w) and w[o + j] == x for j, x in enumerate(own)) / len(own) for o in range(-len(own), len(w)))
+            if part >= license_scan.AGREE and f" {key} " in f" {' '.join(w)} ":
+                labels.add(label)
+                best = max(best, part)
+        base = {b for p, b in license_scan.PHRASES.items() if f" {p} " in f" {' '.join(w)} "}
+        assert set(filter(None, found[d][0]["labels"].split(","))) == labels | base
+        assert found[d][0]["score"] == pytest.approx(1.0 if base else best)
+
+
 def test_quality(spark, docs, empty):
     got = by_id(quality_rules.verdicts(docs))
     for d, t, *_ in ROWS:
