@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 ``encode`` turns every text into token pieces, ``pack`` places pieces into
-sequences.  Packing is bounded-space best-fit: at most ``open_bins`` sequences
-are open in a task, a bitset has one bit for each amount of free space that an
-open sequence has, the best place for a piece is the lowest set bit at or above
-its length, and when too many are open the fullest one closes first.  Pieces are
-dealt to tasks by hash in shares of about ``task_pieces`` and arrive longest
-first, so a task ends with about one sequence that is not full.
+sequences.  Packing is bounded-space online best-fit: at most ``open_bins``
+sequences are open in a task, a bitset has one bit for each amount of free space
+that an open sequence has, the best place for a piece is the lowest set bit at or
+above its length, and when too many are open the fullest one closes first.  Pieces
+are dealt evenly to tasks of about ``task_pieces``; a task takes them in shares of
+``share``, a share's longest pieces first, and keeps its open sequences from one
+share to the next, so short pieces of later shares fill what earlier ones left.
 
 Defined results: a null text counts as empty and gives one piece that holds the
 closing id only; repeated rows and repeated ids are separate documents; an empty
@@ -176,42 +177,56 @@ def encode(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     return df.select("doc_id", "text").mapInArrow(released(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
+class Bins:
+    """Open sequences by free space; pieces are placed as they come."""
+
+    def __init__(self, capacity: int, open_bins: int) -> None:
+        self.capacity, self.open_bins = capacity, open_bins
+        self.free_bits, self.open, self.bins = 0, 0, 0
+        self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def take(self, free: int) -> int:
+        """A bin with so much free space, no longer among the open ones."""
+        b = self.stacks[free].pop()
+        if not self.stacks[free]:
+            self.free_bits &= ~(1 << free)
+        self.open -= 1
+        return b
+
+    def place(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin and offset of each piece, in the given order."""
+        where, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        for i, size in enumerate(sizes.tolist()):
+            fits = self.free_bits >> size
+            if fits:
+                free = size + (fits & -fits).bit_length() - 1
+                b = self.take(free)
+            else:
+                free, b = self.capacity, self.bins
+                self.bins += 1
+            where[i], offset[i] = b, self.capacity - free
+            free -= size
+            if free:
+                self.stacks[free].append(b)
+                self.free_bits |= 1 << free
+                self.open += 1
+                if self.open > self.open_bins:
+                    self.take((self.free_bits & -self.free_bits).bit_length() - 1)
+        return where, offset
+
+
 def best_fit(sizes: np.ndarray, capacity: int, open_bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, taken in the given order, by bounded-space best-fit."""
-    where, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    free_bits, stacks, n_open, bins = 0, [[] for _ in range(capacity + 1)], 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        fits = free_bits >> size
-        if fits:
-            free = size + (fits & -fits).bit_length() - 1
-            b = stacks[free].pop()
-            if not stacks[free]:
-                free_bits &= ~(1 << free)
-            n_open -= 1
-        else:
-            free, b = capacity, bins
-            bins += 1
-        where[i], offset[i] = b, capacity - free
-        free -= size
-        if free:
-            stacks[free].append(b)
-            free_bits |= 1 << free
-            n_open += 1
-            if n_open > open_bins:
-                fullest = (free_bits & -free_bits).bit_length() - 1
-                stacks[fullest].pop()
-                n_open -= 1
-                if not stacks[fullest]:
-                    free_bits &= ~(1 << fullest)
-    return where, offset
-
-
-def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, task_pieces: int = 8000) -> DataFrame:
+    return Bins(capacity, open_bins).place(sizes)
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, task_pieces: int = 64_000, share: int = 8000) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``capacity`` ids.
 
     The pieces are settled first, as their number decides how many tasks pack.
-    A task's share is sorted before it is placed, so a task that runs again
-    gives the same places.
+    They are dealt in turn, so repeated rows spread like others.  A task holds its
+    pieces without ids, 64,000 rows of some 50 bytes, and sorts them first, so one
+    that runs again gives the same places.
     """
     pieces = settle(pieces)
     tasks = max(1, -(-pieces.count() // task_pieces))
@@ -223,11 +238,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, task_pi
         if not held:
             return
         table = pa.Table.from_batches(held)
-        table = table.take(pa.compute.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
-        where, offset = best_fit(table["length"].to_numpy(), capacity, open_bins)
-        where += TaskContext.get().partitionId() << 32
-        table = table.append_column("sequence_id", pa.array(where)).append_column("offset", pa.array(offset))
-        yield from table.combine_chunks().to_batches(max_chunksize=20_000)
-
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
-    return pieces.repartition(tasks, spread).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+        table = table.take(pa.compute.sort_indices(table, [("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("length", "descending")]))
+        bins = Bins(capacity, open_bins)
+        for at in range(0, len(table), share):
+            own = table.slice(at, share)
+            own = own.take(pa.compute.sort_indices(own, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
+            where, offset = bins.place(own["length"].to_numpy())
+            where += TaskContext.get().partitionId() << 32
+            own = own.append_column("sequence_id", pa.array(where)).append_column("offset", pa.array(offset))
+            yield from own.combine_chunks().to_batches(max_chunksize=20_000)
+
+    return pieces.repartition(tasks).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")

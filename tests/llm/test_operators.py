@@ -88,6 +88,37 @@ def test_best_fit_closes_the_fullest_and_wastes_little():
     assert where.tolist() == [0, 1, 0, 2]  # the second bin was fuller and closed first
 
 
+def test_open_bins_are_bounded_over_shares():
+    """The bound bites, closed bins take nothing more, and open ones go on from share to share."""
+    rng = np.random.default_rng(2)
+    bins, used, seen = packing.Bins(2048, 64), {}, set()
+    for _ in range(20):
+        sizes = np.sort(np.minimum(rng.geometric(1 / 500, 500), 2048))[::-1]
+        where, offset = bins.place(sizes)
+        for b, o, n in zip(where.tolist(), offset.tolist(), sizes.tolist()):
+            assert used.get(b, 0) == o
+            used[b] = o + n
+        assert bins.open <= 64
+        seen |= set(where.tolist())
+    assert max(used.values()) <= 2048 and len(seen) == bins.bins
+    assert len(used) <= 1.1 * sum(used.values()) / 2048 + 64
+
+
+def test_fast_ids_equal_the_tokenizer_on_a_whole_table(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["\u00a0 x\u3000y ' s 's don't  12\u0664\u0665 a\u0301 \U0001f600\U0001f600", "\t\n  a \r\n\x85b", "x" * 5000, " " * 300 + "y", "\u2028a \u200b b"]
+    df = df.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], df.schema))
+    found = {}
+    for r in packing.encode(df, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), with_ids=True).orderBy("doc_id", "piece").collect():
+        found.setdefault(r["doc_id"], []).extend(r["ids"])
+    rows = df.collect()
+    for r, want in zip(rows, tk.encode_batch([r["text"] or "" for r in rows], add_special_tokens=False)):
+        assert found[r["doc_id"]] == [*want.ids, 0]
+
+
 def kneser_ney(texts, scored):
     """A plain model over dictionaries."""
     uni, pairs = Counter(), Counter()
