@@ -2,7 +2,8 @@
 
 Three passes over the texts.  The first counts tokens, the second counts pairs
 of adjacent tokens, both as blocks of sorted 64-bit hashes with counts that are
-merged shard by shard; a shard writes its part of the model as sorted hash
+merged shard by shard (beyond 4,096 shards in two steps, so that blocks stay few);
+a shard writes its part of the model as sorted hash
 arrays into the shared folder.  The third pass memory-maps those arrays in every
 worker and scores whole texts.  Pairs are sharded by their first token, pairs of
 very frequent first tokens by the whole pair, so no shard holds all the pairs of
@@ -36,12 +37,16 @@ from pyspark.sql import functions as F
 
 from . import store
 from . import textcore as tc
-from .shared import parts, settle, shared_dir
+from .shared import parts, released, settle, shared_dir
 
 #: A task sends what it has counted after so many tokens.
 FLUSH = 1_500_000
 #: Input bytes for each shard of the model.
 SHARD_BYTES = 6 << 20
+#: Shards that a task splits its counts into at once; where there are more, groups of shards are split once more.
+WIDE = 4096
+#: Tokens at most whose pairs are sharded by the whole pair; the model carries their statistics.
+MOST_HOT = 1 << 16
 #: What stands before a document's first token.
 BEGIN = int(tc.mix(np.array([0xBE61], np.uint64))[0])
 
@@ -82,7 +87,7 @@ def before(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """What workers need besides the arrays under ``path``."""
+    """What workers need besides the arrays under ``path``; ``there`` tells by kind which shards have arrays."""
 
     path: str
     shards: int
@@ -92,6 +97,7 @@ class Model:
     v: int
     docs: int
     k: int
+    there: dict[str, np.ndarray]
     pair_discounts: tuple[float, float, float]
     token_discounts: tuple[float, float, float]
     token_counts: tuple[int, int, int]
@@ -110,8 +116,27 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), top) for d, top in ((one, 1.0), (two, 2.0), (three, 3.0)))
 
 
+def _rows(v: np.ndarray | None, w: np.ndarray, c: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row of arrays for each place."""
+    order = np.argsort(place, kind="stable")
+    found, start = np.unique(place[order], return_index=True)
+    bounds = np.append(start, len(order))
+    rows = []
+    for k, lo, hi in zip(found.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        own = order[lo:hi]
+        rows.append((k, v[own].tobytes() if v is not None else b"", w[own].tobytes(), c[own].astype(np.uint32).tobytes()))
+    if rows:
+        cols = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["shard", "v", "w", "c"])
+
+
+def _width(shards: int) -> int:
+    """Shards in a group that is split once more."""
+    return -(-shards // WIDE)
+
+
 def _blocks(held: list[np.ndarray], shards: int, hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Counts of what a task holds, one row for each shard."""
+    """Counts of what a task holds, one row for each shard or group of shards."""
     if hot is None:
         (w,) = held
         w, c = summed(w, np.ones(len(w), np.int64))
@@ -125,16 +150,38 @@ def _blocks(held: list[np.ndarray], shards: int, hot: np.ndarray | None) -> Iter
         c = np.diff(np.append(first, len(v)))
         v, w = v[first], w[first]
         s = shard_of(np.where(np.isin(v, hot), tc.combine(v, w), v), shards)
-    order = np.argsort(s, kind="stable")
-    bounds = np.searchsorted(s[order], np.arange(shards + 1))
-    rows = []
-    for k in range(shards):
-        own = order[bounds[k] : bounds[k + 1]]
-        if len(own):
-            rows.append((k, v[own].tobytes() if hot is not None else b"", w[own].tobytes(), c[own].astype(np.uint32).tobytes()))
-    if rows:
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "v", "w", "c"])
+    yield from _rows(v if hot is not None else None, w, c, s.astype(np.int64) // _width(shards))
+
+
+def _fine(blocks: DataFrame, shards: int, hot: tuple[int, ...] | None) -> DataFrame:
+    """Blocks of groups of shards, split into those of shards."""
+    width = _width(shards)
+    if width == 1:
+        return blocks
+    pairs = hot is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.array(hot, np.uint64) if pairs else None
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            v, w, c = (np.concatenate(x) if x else None for x in held)
+            yield from _rows(v, w, c, shard_of(np.where(np.isin(v, frequent), tc.combine(v, w), v) if pairs else w, shards).astype(np.int64))
+
+        for batch in batches:
+            for v, w, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                for at, (part, kind) in enumerate(((v, np.uint64), (w, np.uint64), (c, np.uint32))):
+                    if at or pairs:
+                        held[at].append(np.frombuffer(part, kind))
+                size += len(w) // 8
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [[], [], []], 0
+        if size:
+            yield from flush()
+
+    return blocks.select("shard", "v", "w", "c").repartition(-(-shards // width), "shard").mapInArrow(released(run), "shard int, v binary, w binary, c binary")
 
 
 def _count(train: DataFrame, shards: int, hot: tuple[int, ...] | None) -> DataFrame:
@@ -158,7 +205,7 @@ def _count(train: DataFrame, shards: int, hot: tuple[int, ...] | None) -> DataFr
         if size:
             yield from _blocks([np.concatenate(x) for x in held if x], shards, frequent)
 
-    return train.select("text").mapInArrow(run, "shard int, v binary, w binary, c binary")
+    return _fine(train.select("text").mapInArrow(released(run), "shard int, v binary, w binary, c binary"), shards, hot)
 
 
 def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -189,12 +236,13 @@ def train(docs: DataFrame) -> Model:
         store.save(f"{path}/token-{shard:05d}", hash=w, count=c)
         top = np.argsort(-c, kind="stable")[:64]
         end = np.flatnonzero(w == np.uint64(tc.END))
-        return {"n": [int(c.sum())], "v": [len(w)], "docs": [int(c[end].sum())], "top": pa.array([w[top].view(np.int64).tolist()], pa.list_(pa.int64())), "most": pa.array([c[top].tolist()], pa.list_(pa.int64()))}
+        return {"shard": pa.array([shard], pa.int32()), "n": [int(c.sum())], "v": [len(w)], "docs": [int(c[end].sum())], "top": pa.array([w[top].view(np.int64).tolist()], pa.list_(pa.int64())), "most": pa.array([c[top].tolist()], pa.list_(pa.int64()))}
 
-    rows = _by_shard(_count(docs, shards, None), shards, merge_tokens, "n long, v long, docs long, top array<long>, most array<long>").collect()
-    n, v, n_docs = (sum(r[k] for r in rows) for k in ("n", "v", "docs"))
-    hot = tuple(sorted({BEGIN, *(t & (1 << 64) - 1 for r in rows for t, m in zip(r["top"], r["most"]) if m * 4 * shards > n)}))
-    model = Model(path, shards, hot, (), n, v, n_docs, 0, (0, 0, 0), (0, 0, 0), (0, 0, 0))
+    rows = settle(_by_shard(_count(docs, shards, None), shards, merge_tokens, "shard int, n long, v long, docs long, top array<long>, most array<long>"))
+    n, v, n_docs = (x or 0 for x in rows.agg(F.sum("n"), F.sum("v"), F.sum("docs")).first())
+    tops = rows.select(F.explode(F.arrays_zip("top", "most")).alias("t")).select("t.top", "t.most").filter(F.col("most") * (4 * shards) > n)
+    hot = tuple(sorted({BEGIN, *(r["top"] & (1 << 64) - 1 for r in tops.orderBy(F.desc("most"), "top").limit(MOST_HOT).collect())}))
+    there = {"token": _listed(rows, shards)}
 
     def merge_pairs(shard: int, table: pa.Table) -> dict:
         first, second = _column(table, "v", np.uint64), _column(table, "w", np.uint64)
@@ -214,36 +262,43 @@ def train(docs: DataFrame) -> Model:
         frequent = np.isin(keys, np.array(hot, np.uint64))
         store.save(f"{path}/first-{shard:05d}", hash=keys[~frequent], kinds=kinds[:, ~frequent])
         follow, k = summed(second, np.ones(len(second), np.int64))
-        place = shard_of(follow, shards)
-        bounds = np.searchsorted(place, np.arange(shards + 1))
-        some = [i for i in range(shards) if bounds[i] < bounds[i + 1]]
-        out = {"kind": [0] * len(some) + [1], "shard": [*some, 0], "w": [follow[bounds[i] : bounds[i + 1]].tobytes() for i in some] + [keys[frequent].tobytes()], "c": [k[bounds[i] : bounds[i + 1]].astype(np.uint32).tobytes() for i in some] + [kinds[:, frequent].astype(np.int64).tobytes()], "n": [[0] * 4] * len(some) + [[int((c == i).sum()) for i in (1, 2, 3, 4)]]}
-        return {k: pa.array(x, t) for (k, x), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))}
+        out = {"kind": [], "shard": [], "v": [], "w": [], "c": [], "n": []}
+        for batch in _rows(None, follow, k, shard_of(follow, shards).astype(np.int64) // _width(shards)):
+            out = {"kind": [0] * batch.num_rows, **{x: batch.column(x).to_pylist() for x in ("shard", "v", "w", "c")}, "n": [[0] * 4] * batch.num_rows}
+        last = {"kind": 1, "shard": shard, "v": b"", "w": keys[frequent].tobytes(), "c": kinds[:, frequent].astype(np.int64).tobytes(), "n": [int((c == i).sum()) for i in (1, 2, 3, 4)]}
+        return {x: pa.array([*out[x], last[x]], t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())))}
+
+    merged = settle(_by_shard(_count(docs, shards, hot), shards, merge_pairs, "kind int, shard int, v binary, w binary, c binary, n array<long>"))
+    own = merged.filter("kind = 1")
+    there["pair"] = there["first"] = _listed(own, shards)
+    counts = [x or 0 for x in own.agg(*(F.sum(F.col("n")[i]) for i in range(4))).first()]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), *(pa.array(x) for x in np.frombuffer(c, np.int64).reshape(3, -1))], ["w", "k1", "k2", "k3"])
 
-    merged = settle(_by_shard(_count(docs, shards, hot), shards, merge_pairs, "kind int, shard int, w binary, c binary, n array<long>"))
     stats = dict.fromkeys(hot, (0, 0, 0))
-    counts = [0, 0, 0, 0]
-    for r in merged.filter("kind = 1").select("w", "c", "n").collect():
-        counts = [a + b for a, b in zip(counts, r["n"])]
-        for key, kinds in zip(np.frombuffer(r["w"], np.uint64).tolist(), np.frombuffer(r["c"], np.int64).reshape(3, -1).T.tolist()):
-            stats[key] = tuple(a + b for a, b in zip(stats[key], kinds))
+    found = own.select("w", "c").mapInArrow(unpack, "w long, k1 long, k2 long, k3 long").groupBy("w").agg(*(F.sum(k).alias(k) for k in ("k1", "k2", "k3")))
+    stats |= {r["w"] & (1 << 64) - 1: (r["k1"], r["k2"], r["k3"]) for r in found.collect()}
 
     def merge_follow(shard: int, table: pa.Table) -> dict:
         w, k = summed(_column(table, "w", np.uint64), _column(table, "c", np.uint32).astype(np.int64))
         store.save(f"{path}/follow-{shard:05d}", hash=w, count=k)
-        return {"k": [int(k.sum())], "n": pa.array([[int((k == i).sum()) for i in (1, 2, 3, 4)] + [int((k > 2).sum())]], pa.list_(pa.int64()))}
+        return {"shard": pa.array([shard], pa.int32()), "k": [int(k.sum())], "n": pa.array([[int((k == i).sum()) for i in (1, 2, 3, 4)] + [int((k > 2).sum())]], pa.list_(pa.int64()))}
 
-    rows = _by_shard(merged.filter("kind = 0").select("shard", "w", "c"), shards, merge_follow, "k long, n array<long>").collect()
-    m = [sum(r["n"][i] for r in rows) for i in range(5)]
-    return Model(path, shards, hot, tuple((key, *stats[key]) for key in hot), n, v, n_docs, sum(r["k"] for r in rows), discounts(*counts), discounts(*m[:4]), (m[0], m[1], m[4]))
+    rows = settle(_by_shard(_fine(merged.filter("kind = 0").select("shard", "v", "w", "c"), shards, None), shards, merge_follow, "shard int, k long, n array<long>"))
+    there["follow"] = _listed(rows, shards)
+    total, *m = (x or 0 for x in rows.agg(F.sum("k"), *(F.sum(F.col("n")[i]) for i in range(5))).first())
+    return Model(path, shards, hot, tuple((key, *stats[key]) for key in hot), n, v, n_docs, total, there, discounts(*counts), discounts(*m[:4]), (m[0], m[1], m[4]))
 
 
-def _arrays(path: str, *names: str) -> list[np.ndarray] | None:
-    """The named arrays of a shard, or None if the shard has no rows."""
-    try:
-        return [store.load(path, x) for x in names]
-    except (FileNotFoundError, OSError):
-        return None
+def _listed(rows: DataFrame, shards: int) -> np.ndarray:
+    """Which shards have rows: one byte for each on the driver."""
+    there = np.zeros(shards, bool)
+    for r in rows.select("shard").distinct().toLocalIterator():
+        there[r["shard"]] = True
+    return there
 
 
 class Scorer:
@@ -256,21 +311,22 @@ class Scorer:
 
     def _shards(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
-        for k in range(self.m.shards):
-            if bounds[k] < bounds[k + 1]:
-                yield k, order[bounds[k] : bounds[k + 1]]
+        found, start = np.unique(shard[order], return_index=True)
+        bounds = np.append(start, len(order))
+        for k, lo, hi in zip(found.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield k, order[lo:hi]
 
     def _lookup(self, kind: str, value: str, keys: np.ndarray, shard: np.ndarray, rows: int = 0) -> np.ndarray:
         """Values of the keys, 0 where there is none."""
         out = np.zeros((rows, len(keys)) if rows else len(keys), np.int64)
         for k, own in self._shards(shard):
-            if arrays := _arrays(f"{self.m.path}/{kind}-{k:05d}", "hash", value):
-                at, there = store.find(arrays[0], keys[own])
+            if self.m.there[kind][k]:
+                hashes, values = (store.load(f"{self.m.path}/{kind}-{k:05d}", x) for x in ("hash", value))
+                at, there = store.find(hashes, keys[own])
                 if rows:
-                    out[:, own[there]] = arrays[1][:, at[there]]
+                    out[:, own[there]] = values[:, at[there]]
                 else:
-                    c = arrays[1][at[there]].astype(np.int64)
+                    c = values[at[there]].astype(np.int64)
                     if kind == "pair" and (c == 255).any():
                         places, counts = store.load(f"{self.m.path}/{kind}-{k:05d}", "many")
                         c[c == 255] = counts[np.searchsorted(places, at[there][c == 255])]
@@ -344,7 +400,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def in_training(doc_id: str = "doc_id") -> Column:

@@ -157,6 +157,28 @@ def test_lm_scores_equal_a_plain_model(spark, docs, empty):
     assert lm_scoring.train_and_score(empty).count() == 0
 
 
+def test_lm_shards_split_in_two_steps_give_the_same_scores(spark, docs, monkeypatch):
+    want = {d: sorted(map(tuple, rows)) for d, rows in by_id(lm_scoring.train_and_score(docs)).items()}
+    monkeypatch.setattr(lm_scoring, "WIDE", 4)
+    monkeypatch.setattr(lm_scoring, "parts", lambda *a, **b: 23)
+    got = by_id(lm_scoring.train_and_score(docs))
+    for d, rows in want.items():
+        for a, b in zip(rows, sorted(map(tuple, got[d]))):
+            assert a == pytest.approx(b)
+
+
+def test_lm_unreadable_shard_is_an_error(spark, docs):
+    import glob
+    import os
+    from urllib.parse import urlparse
+
+    model = lm_scoring.train(docs)
+    for f in glob.glob(urlparse(model.path).path + "/pair-*"):
+        os.remove(f)
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        lm_scoring.score(docs, model).collect()
+
+
 def test_lm_counts_beyond_a_byte(spark):
     rows = [(i, "a b a b c", "en", "s", 1, None, 1, None, 1, 1) for i in range(400)]
     got = by_id(lm_scoring.train_and_score(spark.createDataFrame(rows, DDL)))
