@@ -134,7 +134,7 @@ def orders(classes: DataFrame) -> DataFrame:
                 flat = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * size).astype(np.int32)), pa.py_buffer(place.tobytes())])
                 yield pa.RecordBatch.from_arrays([flat, v.take(times), n.take(times)], ["place", "v", "n"])
 
-    return classes.select("v", "n", "signature").mapInArrow(run, "place binary, v binary, n long")
+    return classes.select("v", "n", "signature").mapInArrow(released(run), "place binary, v binary, n long")
 
 
 def region(least: int) -> Column:
@@ -213,7 +213,7 @@ def neighbours(rows: DataFrame, ranges: int, least: int, percent: int) -> tuple[
             yield rows_of(5, [(None, None, 0, total)])
 
     ranged = rows.repartitionByRange(ranges, "place", "v").sortWithinPartitions("place", "v")
-    found = settle(ranged.mapInArrow(run, "kind int, a binary, b binary, n long, part int, c long"))
+    found = settle(ranged.mapInArrow(released(run), "kind int, a binary, b binary, n long, part int, c long"))
     sizes = sorted((r["part"], r["c"]) for r in found.filter("kind = 5").select("part", "c").collect())
     across = []
     for k, (p, _) in enumerate(sizes):

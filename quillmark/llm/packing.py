@@ -150,8 +150,13 @@ def encode(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            _encoder.cache_clear()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, ranks)
-        encoder.known.clear()
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
             for lo, hi in tc.slices(text):
