@@ -6,8 +6,8 @@ same set, by a 128-bit key, form a class at once.  The forest has ``TREES`` tree
 each is one sorted order of the classes, by ``DEPTH`` signature values of its own.
 An order is sorted once over range partitions, so a crowded part of it is spread
 over many tasks, and neighbours in it have the longest common prefixes: a class is
-a candidate with up to ``SMALL`` - 1 classes before it, down to a common prefix of
-a least number of values, which ``least_depth`` takes from the threshold.  Depth so
+a candidate with up to ``SMALL`` - 1 classes before it, or with ``CLOSE`` where its
+region has more, down to a common prefix of a least number of values, which ``least_depth`` takes from the threshold.  Depth so
 adapts by region, that is, by shared prefix: where few classes are, candidates
 share little more than the least prefix, where many are, they share a deep one.
 All candidates are confirmed on full sets.
@@ -54,6 +54,10 @@ PERCENT = 85
 MISS = 2e-5
 #: Members up to which a region gives all its pairs.
 SMALL = 12
+#: Nearest neighbours before a member of a larger region.
+CLOSE = 2
+#: Texts are handled in slices of about this many bytes.
+SLICE = 2 << 20
 #: Bytes of documents for each range of the sorted orders.
 RANGE_BYTES = 8 << 20
 #: Members in the blocks that are compared in large regions, and columns of a matrix.
@@ -97,7 +101,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.columns
-            for lo, hi in tc.slices(text):
+            for lo, hi in tc.slices(text, SLICE):
                 w, _, n = shingles(text.slice(lo, hi - lo))
                 end = np.cumsum(n)
                 some = np.flatnonzero(n)
@@ -177,6 +181,11 @@ def neighbours(rows: DataFrame, ranges: int, least: int, percent: int) -> tuple[
                 alike = alike[(place[alike - k, :prefix] == place[alike, :prefix]).all(1)]
                 if k == 1:
                     fresh[alike - held] = False
+                    # Rows of the same region before each row: in a region that is large by then, the closest ones are enough.
+                    begun = np.maximum.accumulate(np.where(fresh, np.arange(len(own)), -1))
+                    earlier = np.where(begun < 0, run_n + np.arange(len(own)), np.arange(len(own)) - begun)
+                elif k == CLOSE + 1:
+                    alike = alike[earlier[alike - held] < SMALL]
                 x, y = n[alike - k], n[alike]
                 near = alike[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
                 pairs += [(v[i - k], v[i], 0, 0) for i in near.tolist()]
@@ -253,7 +262,7 @@ def write_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch in batches:
             text = batch.column(0)
-            for lo, hi in tc.slices(text):
+            for lo, hi in tc.slices(text, SLICE):
                 w, _, n = shingles(text.slice(lo, hi - lo))
                 end = np.cumsum(n)
                 for i in np.flatnonzero(n).tolist():
@@ -410,7 +419,7 @@ def with_key(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1)
-            for lo, hi in tc.slices(text):
+            for lo, hi in tc.slices(text, SLICE):
                 w, _, n = shingles(text.slice(lo, hi - lo))
                 end = np.cumsum(n)
                 keys = [set_key(w[end[i] - n[i] : end[i]]) if n[i] else None for i in range(len(n))]
