@@ -312,9 +312,9 @@ def _(e: Engine) -> DataFrame:
     return hit.filter("score > 0").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@register("fts_snippet", "SELECT doc_id, regexp_replace(text, '(thonent|reation|erst)', '<mark>\\1</mark>', 'gi') AS s FROM documents WHERE lang = 'en'")
+@register("fts_snippet", "SELECT doc_id, regexp_replace(text, '(thonent|reation|erst)', '<mark>\\1</mark>', 'gi') AS s FROM documents")
 def _(e: Engine) -> DataFrame:
-    return e.table("documents").filter("lang = 'en'").select("doc_id", search.snippet(F.col("text"), _QUERY).alias("s"))
+    return e.table("documents").select("doc_id", search.snippet(F.col("text"), _QUERY).alias("s"))
 
 
 @register("fts_no_stopwords", f"SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nl}}\\p{{N}}\\p{{M}}]+'), lambda t: t <> '')) AS BIGINT) AS all_terms, CAST(len({_TERMS}) AS BIGINT) AS terms FROM documents")
@@ -448,6 +448,102 @@ def _(e: Engine) -> DataFrame:
     return graph.expand_all(_edges(e), starts, 2).select("start", "depth", "node_type", "node_id")
 
 
+# --- the same surface as SQL text
+
+both("sql_param_order", "SELECT c_custkey FROM customer WHERE c_custkey > 10 AND c_custkey < 100")
+
+
+@register("sql_param_order", ORACLES["sql_param_order"])
+def _(e: Engine) -> DataFrame:
+    return e.sql("SELECT c_custkey FROM customer WHERE c_custkey > $2 AND c_custkey < $1 AND $3 IS NULL", [100, 10])
+
+
+both("sql_like_operands", "SELECT p_partkey, lower(p_name) LIKE '%A%' AS a, p_type || '!' LIKE 'promo%' AS b, p_type NOT LIKE lower('%BRASS') AS c FROM part", "SELECT p_partkey, lower(p_name) ILIKE '%A%' AS a, (p_type || '!') ILIKE 'promo%' AS b, p_type NOT ILIKE '%brass' AS c FROM part")
+both("sql_distinct_on_expr", "SELECT DISTINCT ON (c_nationkey) c_nationkey, coalesce(c_name, 'x') AS n, c_acctbal * 2 AS twice FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey")
+both("sql_set_chain", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 15 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 8 ORDER BY k LIMIT 20",
+     "SELECT n_nationkey AS k FROM nation EXCEPT (SELECT c_nationkey FROM customer WHERE c_nationkey < 15 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 8) ORDER BY k LIMIT 20")
+both("sql_recursive_union", ORACLES["cte_recursive_union"])
+_FRAMES = [(f, b, x) for f in ("first_value", "last_value", "min") for b in ("1 PRECEDING AND 2 FOLLOWING", "UNBOUNDED PRECEDING AND CURRENT ROW") for x in ("CURRENT ROW", "GROUP", "TIES", "NO OTHERS")]
+both("sql_window_frames", "SELECT p_partkey, " + ", ".join(f"{f}(p_partkey) OVER (PARTITION BY p_brand ORDER BY {'p_size' if f == 'min' else 'p_size, p_partkey'} GROUPS BETWEEN {b} EXCLUDE {x}) AS c{i}" for i, (f, b, x) in enumerate(_FRAMES)) + " FROM part p",
+     "SELECT p_partkey, " + ", ".join(f"{f}(p_partkey) OVER (PARTITION BY p_brand ORDER BY {'p_size' if f == 'min' else 'p_size, p_partkey'} GROUPS BETWEEN {b} EXCLUDE {x}) AS c{i}" for i, (f, b, x) in enumerate(_FRAMES)) + " FROM part")
+both("sql_search_score", f"SELECT doc_id, round(search_score(text, '{_QUERY}'), 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 20", ORACLES["fts_score_topk"])
+both("sql_search_filter", f"SELECT doc_id FROM documents WHERE search(text, '{_QUERY}') AND lang = 'en'", _BM25 + "SELECT doc_id FROM sc WHERE score > 0 AND lang = 'en'")
+both("sql_snippet", f"SELECT doc_id, snippet(text, '{_QUERY}') AS s FROM documents", "SELECT doc_id, regexp_replace(text, '(thonent|reation|erst)', '<mark>\\1</mark>', 'gi') AS s FROM documents")
+_VTEXT = "'[" + ",".join(map(str, _V)) + "]'"
+both("sql_vector_topk", f"SELECT vec_id, round(vector_distance(embedding, {_VTEXT}), 6) AS distance FROM embeddings ORDER BY vector_distance(embedding, {_VTEXT}), vec_id LIMIT 10", ORACLES["vec_l2_topk"])
+both("sql_vector_functions", f"SELECT vec_id, round(vector_score(embedding, {_VTEXT}), 6) AS s, round(cosine_distance(embedding, {_VTEXT}), 6) AS c, round(dot_product(embedding, {_VTEXT}), 6) AS d, round(embedding <-> {_VTEXT}, 6) AS l FROM embeddings",
+     f"SELECT vec_id, round(1 / (1 + list_distance(embedding::DOUBLE[], {_VSQL})), 6) AS s, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_VSQL}), 6) AS c, round(-list_dot_product(embedding::DOUBLE[], {_VSQL}), 6) AS d, round(list_distance(embedding::DOUBLE[], {_VSQL}), 6) AS l FROM embeddings")
+both("sql_hybrid_topk", f"SELECT doc_id, round(hybrid_score(search_score(text, '{_QUERY}'), vector_score(embedding, {_VTEXT})), 6) AS h FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang = 'en' ORDER BY h DESC, doc_id LIMIT 15", ORACLES["hybrid_topk"])
+both("sql_scalar_calls", "SELECT n_nationkey, substring(n_name, -1, 3) AS s, quote_ident(n_name) AS q, format_type(23, NULL) AS t, concat(n_name, NULL, 1) AS c, cast(n_name AS varchar(40)) AS v, current_setting('timezone') AS z FROM nation",
+     """SELECT n_nationkey, substring(n_name, 1, 3) AS s, '"' || n_name || '"' AS q, 'integer' AS t, n_name || '1' AS c, n_name AS v, 'UTC' AS z FROM nation""")
+
+
+def _graph(name: str, text: str, oracle: str) -> None:
+    @register(name, oracle)
+    def _(e: Engine) -> DataFrame:
+        e.create_graph("nations", _edges(e))
+        return e.sql(text)
+
+
+_graph("sql_graph_neighbors", "SELECT path_rank, edge_id, node_id, cost FROM graph_neighbors('nations', 'nation', '3', 'out', 'next,SKIP', 10) g", ORACLES["graph_neighbors"])
+_graph("sql_graph_expand", "SELECT node_type, count(*) AS n, sum(cost) AS c FROM graph_expand('nations', 'nation', '3', 3, 'out', '*', 1000) GROUP BY node_type",
+       ORACLES["graph_expand"].rsplit("SELECT CAST(depth", 1)[0] + "SELECT node_type, count(*) AS n, sum(cost) AS c FROM p WHERE depth > 0 GROUP BY node_type")
+_graph("sql_graph_paths", "SELECT path_rank, cost FROM graph_shortest_path('nations', 'nation', '3', 'nation', '19', 4, 'out', '*', 3)",
+       ORACLES["graph_shortest_path"].replace("depth < 6", "depth < 4").replace("SELECT min(cost) AS cost FROM p WHERE node_id = '19'", "SELECT CAST(row_number() OVER (ORDER BY cost) AS BIGINT) AS path_rank, cost FROM (SELECT cost FROM p WHERE node_id = '19' ORDER BY cost LIMIT 3)").replace("ON source_type = 'nation' AND target_type = 'nation' AND source_id = node_id", "ON source_type = 'nation' AND target_type = 'nation' AND source_id = node_id AND node_id <> '19'"))
+_graph("sql_graph_lateral", "SELECT n.n_nationkey AS start, g.depth, g.node_type, g.node_id FROM nation n CROSS JOIN LATERAL graph_expand('nations', 'nation', n.n_nationkey, 2) g WHERE n.n_nationkey < 5", ORACLES["graph_lateral"])
+
+
+def _statements(name: str, oracle: str, *texts: str, columns: tuple[str, ...] = ("*",)) -> None:
+    """A query over a fresh database after some statements."""
+
+    @register(name, oracle)
+    def _(e: Engine) -> DataFrame:
+        db = Database(_store(e.spark))
+        for t in ("nation", "region", "events"):
+            if any(f"source_{t}" in x for x in texts):
+                e.table(t).createOrReplaceTempView(f"source_{t}")
+        for t in texts[:-1]:
+            db.execute(t)
+        return db.execute(texts[-1]).select(*columns)
+
+
+_NATIONS = ("CREATE TABLE nations (k INT PRIMARY KEY, name TEXT NOT NULL, region INT DEFAULT 0, CHECK (k >= 0))", "INSERT INTO nations SELECT n_nationkey, n_name, n_regionkey FROM source_nation WHERE n_nationkey < 20")
+_statements("sql_insert_returning", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey >= 20", *_NATIONS, "INSERT INTO nations (k, name) SELECT n_nationkey, n_name FROM source_nation WHERE n_nationkey >= 20 RETURNING k, name")
+_statements("sql_upsert_where", "SELECT n_nationkey AS k, CASE WHEN n_nationkey BETWEEN 10 AND 19 AND n_regionkey > 1 THEN upper(n_name) || '!' ELSE n_name END AS name, n_regionkey AS region FROM nation", *_NATIONS,
+            "INSERT INTO nations SELECT n_nationkey, upper(n_name), n_regionkey FROM source_nation WHERE n_nationkey >= 10 AND n_nationkey < 20 ON CONFLICT (k) DO UPDATE SET name = concat(excluded.name, '!') WHERE nations.region > 1",
+            "INSERT INTO nations SELECT n_nationkey, n_name, n_regionkey FROM source_nation ON CONFLICT (k) DO NOTHING", "SELECT * FROM nations")
+_statements("sql_update_returning", "SELECT n_nationkey AS k, 'x' || n_name AS name FROM nation WHERE n_nationkey < 20 AND n_regionkey = 2", *_NATIONS, "UPDATE nations SET name = concat('x', name) WHERE region = 2 RETURNING k, name")
+_statements("sql_delete_returning", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 20 AND n_regionkey = 1", *_NATIONS, "DELETE FROM nations WHERE region = 1 RETURNING k")
+_statements("sql_update_cascade", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN 9 ELSE n_regionkey END AS region FROM nation WHERE n_nationkey < 20",
+            "CREATE TABLE regions (r INT PRIMARY KEY, label TEXT)", "INSERT INTO regions SELECT r_regionkey, r_name FROM source_region", "CREATE TABLE nations (k INT PRIMARY KEY, name TEXT, region INT REFERENCES regions (r) ON UPDATE CASCADE ON DELETE CASCADE)", _NATIONS[1], "UPDATE regions SET r = 9 WHERE r = 1", "SELECT k, region FROM nations")
+_statements("sql_transaction", "SELECT CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_nationkey < 20 AND n_nationkey <> 3", *_NATIONS, "BEGIN", "DELETE FROM nations WHERE k = 3", "SAVEPOINT s", "DELETE FROM nations WHERE k > 5", "ROLLBACK TO SAVEPOINT s", "COMMIT", "SELECT COUNT(*) AS n FROM nations")
+_statements("sql_alter_table", "SELECT n_nationkey AS id, n_name AS name, 7 AS size FROM nation WHERE n_nationkey < 20", *_NATIONS, "ALTER TABLE nations ADD COLUMN size INT DEFAULT 7", "ALTER TABLE nations RENAME COLUMN k TO id", "ALTER TABLE nations DROP COLUMN region", "ALTER TABLE nations ADD CONSTRAINT u UNIQUE (name)", "ALTER TABLE nations RENAME TO lands", "SELECT id, name, size FROM lands")
+_statements("sql_rollup", "SELECT event_type, CAST(sum(n) AS BIGINT) AS n, max(last) AS last FROM (" + _ROLLUP_SQL + ") GROUP BY event_type", "CREATE TABLE ev (event_id BIGINT, event_type TEXT, ts TIMESTAMP)", "CREATE ROLLUP daily ON ev USING time_bucket('1 day', ts) GROUP BY event_type AGGREGATES COUNT(*) AS n, MAX(event_id) AS last",
+            "INSERT INTO ev SELECT event_id, event_type, ts FROM source_events", "SELECT event_type, SUM(n) AS n, MAX(last) AS last FROM daily GROUP BY event_type")
+_statements("sql_retention_policy", "SELECT CAST(count_if(ts < TIMESTAMP '2024-02-01' - INTERVAL '7 days') AS BIGINT) AS deleted, CAST(count_if(NOT ts < TIMESTAMP '2024-02-01' - INTERVAL '7 days') AS BIGINT) AS kept, CAST(count_if(ts IS NULL) AS BIGINT) AS skipped FROM events",
+            "CREATE TABLE ev (event_id BIGINT, ts TIMESTAMP)", "INSERT INTO ev SELECT event_id, ts FROM source_events", "CREATE RETENTION POLICY p ON ev USING ts RETAIN FOR '7 days'", "ENFORCE RETENTION POLICY p AT '2024-02-01 00:00:00'")
+_statements("sql_create_graph", "SELECT CAST(n_nationkey AS VARCHAR) AS node_id FROM nation WHERE n_regionkey = 1", "CREATE GRAPH places (NODES (label TEXT), EDGES (note TEXT))",
+            "INSERT INTO places_edges SELECT concat('e', n_nationkey), 'nation', cast(n_nationkey AS text), 'region', cast(n_regionkey AS text), 'within', 1.0, NULL FROM source_nation", "SELECT node_id FROM graph_neighbors('places', 'region', '1', 'in', 'within', 100)")
+_statements("sql_diff_page", "SELECT row_id, CASE WHEN k >= 20 THEN 'removed' ELSE 'changed' END AS change, FALSE AS complete, max(row_id) OVER () AS next_cursor FROM (SELECT n_nationkey AS k, CAST(n_nationkey AS VARCHAR) AS row_id FROM nation WHERE n_nationkey >= 20 OR n_regionkey = 2 ORDER BY 2 LIMIT 4)", _NATIONS[0], "INSERT INTO nations SELECT n_nationkey, n_name, n_regionkey FROM source_nation",
+            "CREATE MATERIALIZED PROJECTION a AS SELECT k, name FROM nations", "DELETE FROM nations WHERE k >= 20", "UPDATE nations SET name = 'q' WHERE region = 2", "CREATE MATERIALIZED PROJECTION b AS SELECT k, name FROM nations", "DIFF PROJECTION a WITH b LIMIT 4", columns=("row_id", "change", "complete", "next_cursor"))
+_statements("sql_function_procedure", "SELECT n_nationkey * 2 AS d FROM nation WHERE n_nationkey < 20 AND n_regionkey = 3", *_NATIONS, "CREATE FUNCTION twice(x INT) RETURNS INT IMMUTABLE AS 'x * 2'", "CREATE PROCEDURE of_region(r INT) AS 'SELECT twice(k) AS d FROM nations WHERE region = r'", "CALL of_region(3)")
+
+
+@register("fts_stored_topk", ORACLES["fts_indexed_topk"])
+def _(e: Engine) -> DataFrame:
+    index = search.TextIndex(e.spark, f"{shared_dir(e.spark)}/text-index-{uuid.uuid4().hex}").build(e.table("documents"), "doc_id", "text")
+    return index.search(_QUERY, 100).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@register("replay_lag", "SELECT CAST((max(event_id) + min(event_id)) // 2 AS BIGINT) AS applied_position, max(event_id) AS source_position, CAST(count_if(event_id > (SELECT (max(event_id) + min(event_id)) // 2 FROM events)) AS BIGINT) AS waiting, FALSE AS fresh FROM events")
+def _(e: Engine) -> DataFrame:
+    events = e.table("events").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").cast("string").alias("checkpoint"), F.col("event_id").alias("position"), F.col("user_id").cast("string").alias("document_id"), F.col("props").alias("payload"))
+    replay = Replay(_store(e.spark), "users")
+    ends = events.agg(F.max("position").alias("high"), F.min("position").alias("low")).first()
+    replay.apply(events.filter(F.col("position") <= (ends["high"] + ends["low"]) // 2), "first")
+    return replay.lag(events)
+
+
 # --- projections, replay, DML, catalog
 
 _CUSTOMERS_2 = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0"

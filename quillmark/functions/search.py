@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.plans.tree import quote
+
 STOP_WORDS = tuple("a an and are as at be but by for from if in into is it no not of on or that the this to with was would you".split())
 _ACCENTS = {"a": "áàâäãåāăą", "c": "çćĉċč", "e": "éèêëēĕėęě", "i": "íìîïĩīĭį", "n": "ñńņň", "o": "óòôöõōŏő", "u": "úùûüũūŭůűų", "y": "ýÿŷ"}
 
@@ -42,8 +45,60 @@ class Analyzer:
         return list(dict.fromkeys(t for t in parts if t and not (self.stop_words and t in STOP_WORDS)))
 
 
-def _same(word: str):  # noqa: ANN202
-    return lambda t: t == F.lit(word)
+def terms_sql(field: str, analyzer: Analyzer) -> str:
+    """``Analyzer.terms`` as SQL over an expression."""
+    x = f"lower({field})" if analyzer.case_folding else f"({field})"
+    if analyzer.accent_folding:
+        marked, plain = "".join(_ACCENTS.values()), "".join(k * len(v) for k, v in _ACCENTS.items())
+        upper = not analyzer.case_folding
+        x = f"translate({x}, {quote(marked + (marked.upper() if upper else ''))}, {quote(plain + (plain.upper() if upper else ''))})"
+    pattern = r"(?U)\s+" if analyzer.whitespace else r"[^\p{IsAlphabetic}\p{N}]+"
+    drop = ("", *STOP_WORDS) if analyzer.stop_words else ("",)
+    return f"filter(split({x}, {quote(pattern)}), t -> t NOT IN ({', '.join(map(quote, drop))}))"
+
+
+def _maybe(field: str, words: list[str], analyzer: Analyzer) -> str:
+    """Whether a text can hold one of the terms: a plain search that spares most texts their analysis."""
+    if analyzer.accent_folding:
+        return "true"
+    x = f"lower({field})" if analyzer.case_folding else f"({field})"
+    return "(" + " OR ".join(f"contains({x}, {quote(w)})" for w in words) + ")" if words else "false"
+
+
+def score_sql(field: str, words: list[str], c: dict, analyzer: Analyzer, k1: float = 1.2, b: float = 0.75, boost: float = 1.0) -> str:
+    """BM25 as SQL: a text is analysed once, and only if it may hold a term."""
+    parts = []
+    for w, seen in zip(words, c["df"]):
+        idf = math.log((c["n"] - seen + 0.5) / (seen + 0.5) + 1)
+        tf = f"size(filter(t, x -> x = {quote(w)}))"
+        parts.append(f"greatest({idf!r}D * {tf} * {k1 + 1!r}D / ({tf} + {k1!r}D * ({1 - b!r}D + {b!r}D * size(t) / {float(c['avgdl'])!r}D)), 0D)")
+    if not parts:
+        return "0D"
+    total = f"transform(array({terms_sql(field, analyzer)}), t -> ({' + '.join(parts)}) * {float(boost)!r}D)[0]"
+    return f"(CASE WHEN {field} IS NULL OR NOT {_maybe(field, words, analyzer)} THEN 0D ELSE {total} END)"
+
+
+def match_sql(field: str, query: str, analyzer: Analyzer | None = None) -> str:
+    """Whether a text holds a term of the query."""
+    analyzer = analyzer or Analyzer()
+    words = analyzer.query(query)
+    if not words:
+        return "false"
+    return f"({field} IS NOT NULL AND {_maybe(field, words, analyzer)} AND arrays_overlap({terms_sql(field, analyzer)}, array({', '.join(map(quote, words))})))"
+
+
+def fraction_sql(field: str, query: str, analyzer: Analyzer | None = None) -> str:
+    analyzer = analyzer or Analyzer()
+    words = analyzer.query(query)
+    return f"(size(array_intersect({terms_sql(field, analyzer)}, array({', '.join(map(quote, words))}))) / {float(len(words))!r}D)" if words else "0D"
+
+
+def snippet_sql(field: str, query: str) -> str:
+    words = sorted(Analyzer().query(query), key=lambda w: (-len(w.encode()), w))
+    if not words:
+        return f"({field})"
+    each = "|".join("\\Q" + w + "\\E" for w in words)
+    return f"regexp_replace({field}, {quote(f'(?iu)({each})')}, '<mark>$1</mark>')"
 
 
 def corpus(df: DataFrame, field: str, query: list[str], analyzer: Analyzer) -> dict:
@@ -60,14 +115,7 @@ def score(df: DataFrame, field: str, query: str, analyzer: Analyzer | None = Non
     analyzer = analyzer or Analyzer()
     words = analyzer.query(query)
     c = corpus(stats if stats is not None else df, field, words, analyzer)
-    terms = analyzer.terms(F.col(field))
-    size = F.size(terms)
-    total = F.lit(0.0)
-    for q, seen in zip(words, c["df"]):
-        idf = F.log((F.lit(float(c["n"])) - seen + 0.5) / (seen + 0.5) + 1)
-        tf = F.size(F.filter(terms, _same(q))).cast("double")
-        total = total + F.greatest(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / c["avgdl"])), F.lit(0.0))
-    return F.when(F.col(field).isNull(), 0.0).otherwise(total * boost)
+    return F.expr(score_sql(f"`{field}`", words, c, analyzer, k1, b, boost))
 
 
 def fraction(text: Column, query: str, analyzer: Analyzer | None = None) -> Column:
@@ -86,6 +134,30 @@ def postings(df: DataFrame, key: str, field: str, analyzer: Analyzer | None = No
     return t.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+class TextIndex:
+    """A stored inverted index: postings sorted by term, so a look-up reads the files and row groups of its terms only.
+
+    Beside the postings stand the number of rows and the mean length, and each
+    term's number of documents comes from its own postings.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer | None = None) -> None:
+        self.spark, self.path, self.analyzer = spark, path, analyzer or Analyzer()
+
+    def build(self, df: DataFrame, key: str, field: str, parts: int | None = None) -> TextIndex:
+        rows = postings(df, key, field, self.analyzer).withColumnRenamed(key, "key")
+        ranged = rows.repartitionByRange(parts, "term", "key") if parts else rows.repartitionByRange("term", "key")
+        ranged.sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{self.path}/postings")
+        sizes = df.select(F.size(self.analyzer.terms(F.col(field))).alias("dl"), F.col(field).isNotNull().alias("has"))
+        sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("has"), F.col("dl"))), F.lit(1.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/stats")
+        return self
+
+    def search(self, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """key and score of the best k documents."""
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        return indexed_top(self.spark.read.parquet(f"{self.path}/postings"), "key", stats["n"], stats["avgdl"], query, k, self.analyzer, k1, b)
+
+
 def indexed_top(index: DataFrame, key: str, rows: int, mean: float, query: str, k: int, analyzer: Analyzer | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The best k documents by BM25, read from postings of the query's terms only."""
     words = (analyzer or Analyzer()).query(query)

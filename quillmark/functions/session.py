@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VERSION = "quillmark 0.1"
+VERSION = "quillmark 0.2"
 
 
 @dataclass
@@ -17,6 +18,23 @@ class Session:
     schema: str = "public"
     settings: dict[str, str] = field(default_factory=lambda: {"timezone": "UTC", "search_path": "public"})
 
+    pid: int = field(default_factory=os.getpid)
+
+    def version_text(self) -> str:
+        return VERSION
+
+    def setting(self, name: str, missing_ok: bool = False) -> str | None:
+        if name.lower() not in self.settings and not missing_ok:
+            raise KeyError(f"no setting {name}")
+        return self.settings.get(name.lower())
+
+    def change(self, name: str, value: str, local: bool = False) -> None:
+        if local:
+            raise ValueError("settings hold for the session")
+        self.settings[name.lower()] = value
+        if name.lower() == "search_path":
+            self.schema = value.split(",")[0].strip()
+
     def version(self) -> Column:
         return F.lit(VERSION)
 
@@ -32,14 +50,10 @@ class Session:
     session_user = current_role = current_user
 
     def current_setting(self, name: str, missing_ok: bool = False) -> Column:
-        if name.lower() not in self.settings and not missing_ok:
-            raise KeyError(f"no setting {name}")
-        return F.lit(self.settings.get(name.lower()))
+        return F.lit(self.setting(name, missing_ok))
 
     def set_config(self, name: str, value: str, local: bool = False) -> Column:
-        if local:
-            raise ValueError("settings hold for the session")
-        self.settings[name.lower()] = value
+        self.change(name, value, local)
         return F.lit(value)
 
     # Constants that clients of the wire protocol ask for.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.shared import shared_dir
+
 
 def literal(v: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in v))
@@ -61,6 +64,7 @@ class IVF:
     """Inverted lists: rows are assigned to the nearest of ``lists`` centroids; a query probes some lists.
 
     Centroids are fitted on a sample of at most ``sample`` rows; every row is listed.
+    Lists are stored once, a folder each, so a search reads the probed lists only.
     """
 
     def __init__(self, df: DataFrame, key: str, vector: str, lists: int = 64, sample: int = 2560, seed: int = 1) -> None:
@@ -80,7 +84,10 @@ class IVF:
                 v = np.array(s.tolist(), float).reshape(len(s), -1)
                 yield pd.Series(((v**2).sum(1)[:, None] - 2 * v @ c.T + (c**2).sum(1)).argmin(1))
 
-        self.listed = df.filter(F.col(vector).isNotNull()).withColumn("list_id", nearest(vector))
+        path = f"{shared_dir(df.sparkSession)}/ivf-{uuid.uuid4().hex}"
+        rows = df.filter(F.col(vector).isNotNull()).withColumn("list_id", nearest(vector))
+        rows.write.partitionBy("list_id").parquet(path)
+        self.listed = df.sparkSession.read.schema(rows.schema).parquet(path)
 
     def search(self, query: Sequence[float], k: int, probes: int = 1, metric: str = "l2") -> DataFrame:
         """The k nearest of the probed lists, ranked by exact distance."""

@@ -101,11 +101,11 @@ def expand(edges: DataFrame, node_type: str, node_id: str, max_depth: int, direc
     return expand_all(edges, start, max_depth, direction, edge_types, max_results).drop("start")
 
 
-def shortest_path(edges: DataFrame, source_type: str, source_id: str, target_type: str, target_id: str, max_depth: int, direction: str = "out", edge_types: str = "*") -> DataFrame:
-    """The cheapest path within ``max_depth`` steps; ties go to fewer steps, then to smaller edges.
+def shortest_path(edges: DataFrame, source_type: str, source_id: str, target_type: str, target_id: str, max_depth: int, direction: str = "out", edge_types: str = "*", max_paths: int = 1) -> DataFrame:
+    """The ``max_paths`` cheapest paths within ``max_depth`` steps; ties go to fewer steps, then to smaller edges.
 
-    Label setting by rounds: a round keeps the best path to each (node, depth), and
-    paths dearer than one that already reached the target are dropped.
+    Label setting by rounds: a round keeps the best ``max_paths`` paths to each (node,
+    depth), and paths dearer than so many that already reached the target are dropped.
     """
     spark = edges.sparkSession
     adjacent = settle(adjacency(edges, direction, edge_types))
@@ -117,15 +117,16 @@ def shortest_path(edges: DataFrame, source_type: str, source_id: str, target_typ
         if best is not None:
             grown = grown.filter(F.col("cost") <= best)
         w = Window.partitionBy("node_type", "node_id").orderBy("cost", "steps")
-        grown = settle(grown.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n"))
+        grown = settle(grown.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= max_paths).drop("__n"))
         if not grown.take(1):
             break
         hit = grown.filter(target)
-        low = hit.agg(F.min("cost")).first()[0]
-        if low is not None:
-            best = low if best is None else min(best, low)
         reached = hit if reached is None else reached.union(hit)
+        costs = [r["cost"] for r in reached.select("cost").orderBy("cost").limit(max_paths).collect()]
+        best = costs[-1] if len(costs) == max_paths else None
         frontier = grown.filter(~target)
     if reached is None:
         reached = _grow(frontier, adjacent).limit(0)
-    return reached.orderBy("cost", "depth", "steps").limit(1).withColumn("path_rank", F.lit(1).cast("long")).select(*_output())
+    order = ["cost", "depth", "steps"]
+    top = reached.orderBy(*order).limit(max_paths)
+    return top.withColumn("path_rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select(*_output())

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.sources.tables import Store
@@ -45,6 +45,16 @@ def diff(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int | No
     return out.orderBy("row_id").limit(limit) if limit is not None else out
 
 
+def diff_page(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int, after: str | None = None) -> DataFrame:
+    """A page of ``diff``: next_cursor is the row to go on after, null on the last page, and complete tells so."""
+    page = diff(left, right, keys, limit + 1, after)
+    rows = page.withColumn("__n", F.row_number().over(Window.orderBy("row_id")))
+    total = F.max("__n").over(Window.partitionBy())
+    last = F.max(F.when(F.col("__n") <= limit, F.col("row_id"))).over(Window.partitionBy())
+    rows = rows.withColumns({"complete": total <= limit, "next_cursor": F.when(total > limit, last)})
+    return rows.filter(F.col("__n") <= limit).drop("__n")
+
+
 @dataclass
 class Projection:
     name: str
@@ -55,6 +65,7 @@ class Projection:
     generations: dict[str, int] = field(default_factory=dict)
     versions: dict[str, dict] = field(default_factory=dict)
     current: str = ""
+    layout: dict[str, list[str] | None] = field(default_factory=dict)
 
 
 class Projections:
@@ -71,7 +82,7 @@ class Projections:
             raise ValueError("a projection's query must be deterministic")
         p = Projection(name, sql, tuple(sources), lambda: run(sql))
         self.known[name] = p
-        self._layout = {"partition_by": partition_by, "sort_by": sort_by}
+        p.layout = {"partition_by": partition_by, "sort_by": sort_by}
         self.activate(name, self.build_version(name))
         return p
 
@@ -80,7 +91,7 @@ class Projections:
         p = self.known[name]
         generations = {s: self.store.generation(s) for s in p.sources}
         df = p.build()
-        version = self.store.stage(f"projection_{name}", df)
+        version = self.store.stage(f"projection_{name}", df, **p.layout)
         stored = self.store.spark.read.schema(df.schema).parquet(f"{self.store.root}/projection_{name}/{version}")
         p.versions[version] = {"root": root_digest(stored), "rows": stored.count(), "generations": generations, "schema": df.schema.json(), "columns": tuple(df.columns)}
         return version
@@ -119,7 +130,15 @@ class Projections:
         version = version or p.current
         meta = p.versions[version]
         out = {"projection": name, "version": version, "mode": mode, "ok": True, "rows": meta["rows"]}
-        if mode in ("hashes_only", "full"):
+        place = f"{self.store.root}/projection_{name}/{version}"
+        if mode in ("metadata_only", "full"):
+            found = self.store.spark.read.parquet(place) if meta["rows"] else self.store.read(f"projection_{name}", version)
+            same = set(found.columns) == set(meta["columns"])
+            out["ok"] = same and found.count() == meta["rows"]
+        if mode in ("indexes_only", "full") and p.layout.get("partition_by"):
+            folders = {c for f in self.store.spark.read.parquet(place).inputFiles() for c in re.findall(r"/([^/=]+)=", f)}
+            out["ok"] = out["ok"] and set(p.layout["partition_by"]) <= folders
+        if mode in ("hashes_only", "full") and out["ok"]:
             df = self.store.spark.read.schema(_schema(meta["schema"])).parquet(f"{self.store.root}/projection_{name}/{version}")
             out["root"] = root_digest(df)
             out["ok"] = out["root"] == meta["root"]

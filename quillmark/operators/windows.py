@@ -15,22 +15,70 @@ def rows(partition: Sequence[str], order: Sequence[Column], start: int = START,
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(start, end)
 
 
-def over_groups(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: str, name: str, start: int, end: int, kind: str = "first_value", exclude: str = "no others") -> DataFrame:
-    """``first_value``, ``last_value`` or ``min`` over a GROUPS frame, with an exclusion.
+def _edge(n: int | None, side: str) -> str:
+    return f"UNBOUNDED {side}" if n is None else "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+
+
+def _least(a: int | None, b: int) -> int:
+    return b if a is None else min(a, b)
+
+
+def _most(a: int | None, b: int) -> int:
+    return b if a is None else max(a, b)
+
 
-    Peers get a dense rank, and the frame is a range over it.  Rows of the frame are
-    gathered only where something is excluded, as built-in functions cannot skip rows.
+def pick(kind: str, value: str, partition: str, order: str, g: str, r: str, unit: str, low: int | None, high: int | None, exclude: str) -> tuple[str, list[str]]:
+    """SQL of ``first_value``, ``last_value`` or ``min`` over a frame with an exclusion, and columns it needs below.
+
+    ``g`` numbers the peers and ``r`` the rows of a partition.  A frame without some
+    of its rows is one or more plain frames: those before, those after, and what
+    stays of the current group; the value with the first or last row number of them
+    is picked, so no frame is ever gathered.  Only RANGE frames and ROWS frames
+    without the current row's peers gather their rows.
     """
+    call = {"first_value": "min", "last_value": "max", "min": "min"}[kind]
+    item = f"struct({value} AS v)" if kind == "min" else f"struct({r} AS r, {value} AS v)"
+    parted = f"PARTITION BY {partition}" if partition else ""
+    if kind == "min":
+        item = f"IF({value} IS NULL, NULL, {item})"
+
+    def over(frame: str, by: str, extra: str = "") -> str:
+        return f"{call}({item}) OVER (PARTITION BY {', '.join(x for x in (partition, extra) if x)} ORDER BY {by} {frame})" if partition or extra else f"{call}({item}) OVER (ORDER BY {by} {frame})"
+
+    between = lambda a, b, u: f"{u} BETWEEN {_edge(a, 'PRECEDING')} AND {_edge(b, 'FOLLOWING')}"
+    inside = (low is None or low <= 0) and (high is None or high >= 0)
+    pieces: list[str] | None = None
+    if unit == "groups" or unit == "rows" and exclude in ("no others", "current row"):
+        by, kind_of = (g, "RANGE") if unit == "groups" else (r, "ROWS")
+        if exclude == "no others":
+            pieces = [over(between(low, high, kind_of), by)]
+        else:
+            pieces = []
+            if low is None or low < 0:
+                pieces.append(over(between(low, _least(high, -1), kind_of), by))
+            if high is None or high > 0:
+                pieces.append(over(between(_most(low, 1), high, kind_of), by))
+            if unit == "groups" and inside and exclude == "current row":
+                pieces += [over("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", r, g), over("ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING", r, g)]
+            elif unit == "groups" and inside and exclude == "ties":
+                pieces.append(item)
+    if pieces is not None:
+        if not pieces:
+            return f"IF(true, NULL, {value})", []
+        chosen = pieces[0] if len(pieces) == 1 else f"{'least' if call == 'min' else 'greatest'}({', '.join(pieces)})"
+        return f"({chosen}).v", []
+    frame = between(low, high, unit.upper())
+    seen = f"collect_list(struct({r} AS r, {g} AS g, {value} AS v)) OVER ({parted} ORDER BY {order} {frame})"
+    keep = {"no others": "true", "current row": f"x.r <> {r}", "group": f"x.g <> {g}", "ties": f"(x.g <> {g} OR x.r = {r})"}[exclude]
+    left = f"array_sort(filter({seen}, x -> {keep}))"
+    return {"first_value": f"get({left}, 0).v", "last_value": f"try_element_at({left}, -1).v", "min": f"array_min(transform({left}, x -> x.v))"}[kind], []
+
+
+def over_groups(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: str, name: str, start: int, end: int, kind: str = "first_value", exclude: str = "no others") -> DataFrame:
+    """``first_value``, ``last_value`` or ``min`` over a GROUPS frame, with an exclusion."""
     by = Window.partitionBy(*partition)
     ties = [F.col(c).asc_nulls_last() for c in df.columns]
     out = df.withColumns({"__g": F.dense_rank().over(by.orderBy(*order)), "__r": F.row_number().over(by.orderBy(*order, *ties))})
-    frame = by.orderBy("__g").rangeBetween(start, end)
-    if exclude == "no others" and kind == "min":
-        return out.withColumn(name, F.min(value).over(frame)).drop("__g", "__r")
-    seen = F.collect_list(F.struct(F.col("__r").alias("r"), F.col("__g").alias("g"), F.col(value).alias("v"))).over(frame)
-    out = out.withColumn("__f", seen)
-    g, r = F.col("__g"), F.col("__r")
-    keep = {"no others": lambda x: F.lit(True), "current row": lambda x: x["r"] != r, "group": lambda x: x["g"] != g, "ties": lambda x: (x["g"] != g) | (x["r"] == r)}[exclude]
-    left = F.array_sort(F.filter("__f", keep))
-    pick = {"first_value": lambda: F.get(left, F.lit(0))["v"], "last_value": lambda: F.try_element_at(left, F.lit(-1))["v"], "min": lambda: F.array_min(F.transform(left, lambda x: x["v"]))}[kind]()
-    return out.withColumn(name, pick).drop("__g", "__r", "__f")
+    offset = lambda n: None if abs(n) >= 1 << 31 else n
+    text, _ = pick(kind, f"`{value}`", ", ".join(f"`{c}`" for c in partition), "__r", "__g", "__r", "groups", offset(start), offset(end), exclude)
+    return out.withColumn(name, F.expr(text)).drop("__g", "__r")

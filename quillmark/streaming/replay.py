@@ -1,7 +1,8 @@
 """Ordered, idempotent replay of event batches into a projection's rows.
 
 Events have event_id, checkpoint, position, document_id and payload (null deletes).
-A ledger table remembers event ids.  A batch is all or nothing: an id that is twice
+A ledger table remembers event ids; it and the rows are published in one step.  A
+batch is all or nothing: an id that is twice
 in the batch, or a position not after the last one of its source, fails it; events
 that the ledger knows are passed over.
 """
@@ -49,6 +50,7 @@ class Replay:
         counts = events.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids")).first()
         if counts["n"] != counts["ids"]:
             raise ReplayError("an event is twice in the batch")
+        seen = {n: self.store.generation(n) for n in (self.state, self.ledger)}
         ledger = self.store.read(self.ledger)
         new = settle(events.join(ledger.select("event_id"), "event_id", "left_anti"))
         last = ledger.agg(F.max("position")).first()[0]
@@ -59,14 +61,21 @@ class Replay:
             state = self.store.stage(self.state, applied(self.store.read(self.state), new))
             book = ledger.union(new.select("event_id", "position", "checkpoint", F.lit(batch_id)))
             ledger_version = self.store.stage(self.ledger, book)
-            self.store.activate(self.state, state, self.store.meta(self.state)["schema"])
-            self.store.activate(self.ledger, ledger_version, self.store.meta(self.ledger)["schema"])
+            old = {n: self.store.meta(n) for n in (self.state, self.ledger)}
+            versions = {self.state: (state, old[self.state]["schema"]), self.ledger: (ledger_version, old[self.ledger]["schema"])}
+            self.store.activate_all(versions, expected=seen)
         return {"applied": first["n"], "duplicates": counts["n"] - first["n"], "checkpoint": self.checkpoint()}
 
     def checkpoint(self) -> str | None:
         r = self.store.read(self.ledger).agg(F.max_by("checkpoint", "position")).first()
         return r[0]
 
+    def lag(self, source: DataFrame) -> DataFrame:
+        """How far the rows are behind a source of events: applied and last position, and the events that wait."""
+        done = self.store.read(self.ledger).agg(F.max("position")).first()[0]
+        waits = F.col("position") > F.lit(-1 if done is None else done)
+        return source.agg(F.lit(done).cast("long").alias("applied_position"), F.max("position").alias("source_position"), F.coalesce(F.sum(waits.cast("long")), F.lit(0)).alias("waiting"), F.coalesce(~F.max(waits), F.lit(True)).alias("fresh"))
+
     def rows(self) -> DataFrame:
         return self.store.read(self.state)
 
