@@ -103,6 +103,11 @@ def time_range(df: DataFrame, time: str, start: str, end: str, partition: dict[s
     return df.filter(cond)
 
 
-def write_partitioned(df: DataFrame, path: str, time: str, keys: Sequence[str] = ()) -> None:
-    """The layout of a time-series index: a folder for each key and day, sorted by time inside."""
-    df.withColumn("day", F.to_date(time)).repartition(*keys, "day").sortWithinPartitions(time).write.partitionBy(*keys, "day").parquet(path)
+def write_partitioned(df: DataFrame, path: str, time: str, keys: Sequence[str] = (), files: int = 8) -> None:
+    """The layout of a time-series index: a folder for each key and day, sorted by time inside.
+
+    A folder's rows go to up to ``files`` tasks by a hash of their time, so a day or
+    key with most of the rows does not meet in one.
+    """
+    salt = F.pmod(F.xxhash64(F.col(time)), F.lit(files))
+    df.withColumn("day", F.to_date(time)).repartition(*keys, "day", salt).sortWithinPartitions(*keys, "day", time).write.partitionBy(*keys, "day").parquet(path)

@@ -12,7 +12,7 @@ from quillmark.functions import search
 from quillmark.functions.session import Session
 from quillmark.operators import graph
 from quillmark.operators.recursive import fixpoint
-from quillmark.plans.dialect import Context, DialectError, names_in, translate
+from quillmark.plans.dialect import Context, DialectError, names_in, rewrite
 from quillmark.plans.tree import quote
 
 SETTINGS = {
@@ -143,7 +143,7 @@ class Queries:
             rows = [(k, v) for k, v in sorted(self.session.settings.items())]
             self.spark.createDataFrame(rows, "name string, setting string").createOrReplaceTempView("__settings")
             text = text.replace("pg_show_all_settings()", "__settings")
-        translated, named = translate(text, SqlContext(self, args), args)
+        translated, named = rewrite(text, SqlContext(self, args), args)
         return self.run(translated, named)
 
     def explain(self, text: str, analyze: bool = False, args: list | None = None) -> str:

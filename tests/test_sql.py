@@ -281,4 +281,4 @@ def test_graphs_projections_copy_and_plans_as_statements(db, tmp_path):
 
 
 def test_translation_leaves_strings_alone():
-    assert translate("SELECT 'a <-> $1 LIKE -- x' AS s, \"odd \"\"name\" FROM t")[0] == "SELECT 'a <-> $1 LIKE -- x' AS s, `odd \"name` FROM t"
+    assert translate("SELECT 'a <-> $1 LIKE -- x' AS s, \"odd \"\"name\" FROM t") == "SELECT 'a <-> $1 LIKE -- x' AS s, `odd \"name` FROM t"
