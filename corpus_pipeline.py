@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept; ``run`` writes a stage's rows as Parquet in the shared folder and reads them
 again for the next one.  All stages but the last return the columns of documents.
+
+Defined results: a null or empty text has no words, fails the quality rules and
+goes at once; a null lang or source is a language or source of its own; repeated
+rows lose their lines alike, one of them stays in near-duplicates, whatever their
+ids, and rows of one id with different texts are documents of their own; further
+columns go along as they are up to the mixture; empty documents give no pieces.
 """
 
 from __future__ import annotations
