@@ -75,3 +75,24 @@ def test_stages_in_order(spark, tmp_path):
     found = after.collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
     assert len({r["sequence_id"] for r in found}) <= math.ceil(1.02 * sum(r["length"] for r in found) / 2048) + 1
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, one id with two texts, columns with clashing names; and no rows at all."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, i int, exact string, taken int, marked boolean, key string"
+    line = lambda k: " ".join(f"word{k}x{j} of" for j in range(30))
+    data = [(0, None, None, None), (1, "", "en", "a"), (2, line(2), "en", "a"), (2, line(3), "en", "b"), (4, line(4), None, None), (4, line(4), None, None), (5, line(4), "de", "c"), (None, line(6), "de", "c")]
+    docs = spark.createDataFrame([(*r, 0, 1, "x", 2, True, "k") for r in data], ddl)
+    for table, texts in ((docs, sorted(map(line, (2, 3, 4, 6)))), (docs.limit(0), [])):
+        now = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, "")
+            if k < 4:
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"{len(texts)}-{k}")
+            out.write.parquet(path)
+            now = spark.read.schema(out.schema).parquet(path)
+            if k == 2:
+                left = now.select("text", "marked", "key", "exact").collect()
+                assert sorted(r["text"] for r in left) == texts and all(tuple(r)[1:] == (True, "k", "x") for r in left)
+        assert now.filter("sequence_id is null or offset is null").count() == 0 and (now.count() > 0) == bool(texts)
