@@ -8,7 +8,8 @@ Defined results: a null or empty text has no words, fails the quality rules and
 goes at once; a null lang or source is a language or source of its own; repeated
 rows lose their lines alike, one of them stays in near-duplicates, whatever their
 ids, and rows of one id with different texts are documents of their own; further
-columns go along as they are up to the mixture; empty documents give no pieces.
+columns go along as they are up to the mixture, whatever their names, but for those
+that begin with two underscores, which are the stages' own.
 """
 
 from __future__ import annotations
