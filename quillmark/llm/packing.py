@@ -32,7 +32,7 @@ from .shared import released, settle
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of chunks that a worker remembers; the memory is emptied when full.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 SPECIAL = "<|endoftext|>"
 
 # Bytes that surely are no white space in any alphabet: printable ASCII, and lead bytes outside
@@ -150,12 +150,6 @@ def encode(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from encoded(batches)
-        finally:
-            _encoder.cache_clear()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, ranks)
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
