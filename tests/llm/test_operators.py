@@ -230,6 +230,25 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, small):
         assert (got[i][0]["n_exact"], got[i][0]["n_near"]) == (int(first[x] != i), int(near)), x
 
 
+def test_few_pairs_of_near_copies_need_an_edit_distance(spark, monkeypatch):
+    """Copies of a line with three other words each share segments, but counted characters tell nearly all of them apart."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(400)]
+    line = words[:40]
+    rows = []
+    for i in range(60):
+        own = list(line)
+        for at in rng.choice(40, 3, replace=False):
+            own[at] = words[int(rng.integers(40, 400))]
+        rows.append((i, " ".join(own), "en", "a", 9, "x", 1, "y", 2, 3))
+    rows.append((60, rows[59][1].replace(" ", "", 2), "en", "a", 9, "x", 1, "y", 2, 3))
+    compared, real = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *more: compared.append(pairs.distinct().count()) or real(pairs, *more))
+    got = by_id(line_dedup.report(spark.createDataFrame(rows, DDL), 5))
+    assert [i for i in got if got[i][0].n_near] == [60]
+    assert 1 <= sum(compared) < 61 * 60 // 2 // 10
+
+
 @pytest.mark.parametrize("small", [1, 32])
 @pytest.mark.parametrize("edits", [2, 5])
 def test_line_dedup_with_more_edits_equals_brute_force(spark, monkeypatch, small, edits):
