@@ -633,3 +633,17 @@ def test_marks_and_repeated_rows_at_the_cut(spark):
     taken = mixing.plan(same).groupBy("source").sum("taken").collect()
     words = {s: sum(len(r["text"].split()) for r in mixed.collect() if r["source"] == s) for s in "ab"}
     assert words == {r["source"]: r["sum(taken)"] for r in taken}
+
+
+def test_settled_lines_are_packed(spark, tmp_path, monkeypatch):
+    """The lines that line dedup keeps take less place than plain Parquet."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("aeionrst"), 5)) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(words, 30)), "en", "a", 9, "x", 1, "y", 2, 3) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DDL).coalesce(1).cache()
+    size = lambda df: sum(len(open(f.removeprefix("file://"), "rb").read()) for f in df.inputFiles())
+    kept, real = [], line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda *x, **y: kept.append(real(*x, **y)) or kept[-1])
+    line_dedup.removals(docs, 5)
+    lines = next(x for x in kept if "copies" in x.columns)
+    assert size(lines) < 0.8 * size(real(line_dedup.distinct_lines(docs, 5)))
