@@ -41,6 +41,8 @@ from .shared import parts, released, settle, shared_dir
 
 #: A task sends what it has counted after so many tokens.
 FLUSH = 1_500_000
+#: Tokens whose slices are looked up together, so that a task visits each shard few times.
+ROUND = 3_000_000
 #: Input bytes for each shard of the model.
 SHARD_BYTES = 6 << 20
 #: Shards that a task splits its counts into at once; where there are more, groups of shards are split once more.
@@ -360,18 +362,35 @@ class Scorer:
         c = self._lookup("pair", "count", pair, self.m.pair_shard(v, pair))
         return c, c - np.array([0, *self.m.pair_discounts])[np.minimum(c, 3)]
 
-    def score(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token: training count and log10 probability after the token before it."""
-        v = before(h, row)
-        both, code = np.unique(np.concatenate([h, v]), return_inverse=True)
-        w_at, v_at = code[: len(h)], code[len(h) :]
+    def score(self, slices: list[Slice]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each token of each slice: training count and log10 probability after the token before it."""
+        both = np.unique(np.concatenate([x.both for x in slices]))
         c, lower = self.tokens(both)
         total, weight = self.contexts(both)
-        pair, first, back = np.unique(tc.combine(v, h), return_index=True, return_inverse=True)
-        _, left = self.pairs(v[first], pair)
-        v_at1, w_at1 = v_at[first], w_at[first]
-        p = np.where(total[v_at1] > 0, left / np.maximum(total[v_at1], 1) + weight[v_at1] * lower[w_at1], lower[w_at1])
-        return c[w_at], np.log10(p)[back]
+        pair, first = np.unique(np.concatenate([x.pair for x in slices]), return_index=True)
+        _, left = self.pairs(np.concatenate([x.both[x.v] for x in slices])[first], pair)
+        for x in slices:
+            at = np.searchsorted(both, x.both)
+            v, w = at[x.v], at[x.w]
+            p = np.where(total[v] > 0, left[np.searchsorted(pair, x.pair)] / np.maximum(total[v], 1) + weight[v] * lower[w], lower[w])
+            yield c[at][x.code], np.log10(p)[x.back]
+
+
+class Slice:
+    """The tokens of a slice of texts: distinct ones and pairs, and where they stand."""
+
+    def __init__(self, ids: pa.Array, text: pa.Array) -> None:
+        self.ids = ids
+        h, row = tokens(text)
+        v = before(h, row)
+        self.n = np.bincount(row, minlength=len(ids))
+        self.both, code = np.unique(np.concatenate([h, v]), return_inverse=True)
+        code = code.astype(np.int32)
+        # Copies, as a view would hold both halves.
+        self.code = code[: len(h)].copy()
+        self.pair, first, back = np.unique(tc.combine(v, h), return_index=True, return_inverse=True)
+        self.back = back.astype(np.int32)
+        self.v, self.w = code[len(h) :][first], self.code[first]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -379,30 +398,42 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
+        held, size = [], 0
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
             for lo, hi in tc.slices(text):
-                h, row = tokens(text.slice(lo, hi - lo))
-                c, log_p = scorer.score(h, row)
-                base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
-                ids, n = key.slice(lo, hi - lo), hi - lo
-                total = lambda x: np.bincount(row, weights=x, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()),
-                        pa.array(np.bincount(row, minlength=n)),
-                        pa.array(total(c > 0).astype(np.int64)),
-                        pa.array(np.full(n, model.n)),
-                        pa.array(total(base)),
-                        pa.array(total(log_p)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                held.append(Slice(key.slice(lo, hi - lo), text.slice(lo, hi - lo)))
+                size += len(held[-1].code)
+                if size >= ROUND:
+                    yield from _scored(scorer, held)
+                    held, size = [], 0
+        if held:
+            yield from _scored(scorer, held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _scored(scorer: Scorer, slices: list[Slice]) -> Iterator[pa.RecordBatch]:
+    """A batch of rows for each slice; the model's arrays are visited once for all."""
+    model = scorer.m
+    for x, (c, log_p) in zip(slices, scorer.score(slices)):
+        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
+        row, n = np.repeat(np.arange(len(x.n)), x.n), len(x.n)
+        total = lambda y: np.bincount(row, weights=y, minlength=n)  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays(
+            [
+                x.ids,
+                pa.array([held_out(i) for i in x.ids.to_pylist()], pa.bool_()),
+                pa.array(x.n),
+                pa.array(total(c > 0).astype(np.int64)),
+                pa.array(np.full(n, model.n)),
+                pa.array(total(base)),
+                pa.array(total(log_p)),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+
 def in_training(doc_id: str = "doc_id") -> Column:
     """The rule of ``held_out`` as an expression; an id that is null counts as the text None."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("None")).cast("binary")) % 10 != 0

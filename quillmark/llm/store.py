@@ -44,11 +44,19 @@ def save(path: str, **arrays: np.ndarray) -> None:
 #: Bytes of arrays that a worker keeps copied or read at once, and files that it keeps mapped.
 KEPT_BYTES, KEPT_FILES = 64 << 20, 2048
 _kept: OrderedDict[str, np.ndarray] = OrderedDict()
+_held = 0
+
+
+def _own(array: np.ndarray) -> int:
+    """Bytes of an array that is not mapped."""
+    return 0 if isinstance(array, np.memmap) else array.nbytes
 
 
 def forget() -> None:
     """Drops all arrays that this worker holds."""
+    global _held
     _kept.clear()
+    _held = 0
 
 
 def load(path: str, name: str) -> np.ndarray:
@@ -57,6 +65,7 @@ def load(path: str, name: str) -> np.ndarray:
     A worker keeps what it used last: mapped files by their number, arrays in
     memory by their bytes.
     """
+    global _held
     place = f"{path}-{name}.npy"
     if place in _kept:
         _kept.move_to_end(place)
@@ -71,10 +80,9 @@ def load(path: str, name: str) -> np.ndarray:
     else:
         array = np.load(local, mmap_mode="r") if os.path.getsize(local) > 4096 else np.load(local)
     _kept[place] = array
-    held = sum(x.nbytes for x in _kept.values() if not isinstance(x, np.memmap))
-    while len(_kept) > KEPT_FILES or held > KEPT_BYTES and len(_kept) > 1:
-        _, old = _kept.popitem(last=False)
-        held -= 0 if isinstance(old, np.memmap) else old.nbytes
+    _held += _own(array)
+    while len(_kept) > KEPT_FILES or _held > KEPT_BYTES and len(_kept) > 1:
+        _held -= _own(_kept.popitem(last=False)[1])
     return array
 
 

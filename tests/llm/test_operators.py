@@ -647,3 +647,19 @@ def test_settled_lines_are_packed(spark, tmp_path, monkeypatch):
     line_dedup.removals(docs, 5)
     lines = next(x for x in kept if "copies" in x.columns)
     assert size(lines) < 0.8 * size(real(line_dedup.distinct_lines(docs, 5)))
+
+
+def test_slices_share_the_visits_of_a_models_shards(spark, docs, monkeypatch):
+    """Slices that are looked up together score alike, and open each array once."""
+    import pyarrow as pa
+
+    model = lm_scoring.train(docs)
+    texts = [(r[0], r[1]) for r in ROWS]
+    parts = [lm_scoring.Slice(pa.array([i]), pa.array([t], pa.string())) for i, t in texts]
+    loads, real = [], lm_scoring.store.load
+    monkeypatch.setattr(lm_scoring.store, "load", lambda *x: loads.append(x) or real(*x))
+    apart = [y for x in parts for y in lm_scoring.Scorer(model).score([x])]
+    alone, loads[:] = len(loads), []
+    whole = list(lm_scoring.Scorer(model).score(parts))
+    assert all((a[0] == b[0]).all() and np.allclose(a[1], b[1], rtol=0, atol=1e-12) for a, b in zip(apart, whole, strict=True))
+    assert len(loads) <= 10 * model.shards + 10 and len(loads) < alone / 2
