@@ -249,6 +249,36 @@ def test_few_pairs_of_near_copies_need_an_edit_distance(spark, monkeypatch):
     assert 1 <= sum(compared) < 61 * 60 // 2 // 10
 
 
+def test_edit_distances_come_after_signatures(spark, monkeypatch):
+    """Spark puts a filter before the conditions of the join that it moves into; signatures are cheap and must still come first."""
+    words = ["abcdefgh"[k:] + "ijklmnop"[:k] for k in range(8)]
+    rows = [(i, " ".join(words[:i] + ["x" * i] + words[i:]), "en", "a", 9, "x", 1, "y", 2, 3) for i in range(8)]
+    plans, real = [], line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda df, *x, **y: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *x, **y))
+    line_dedup.removals(spark.createDataFrame(rows, DDL), 5)
+    joins = [x for plan in plans for x in plan.splitlines() if "Join Inner" in x and "levenshtein" in x]
+    assert joins and all(x.index("bit_count") < x.index("levenshtein") for x in joins)
+
+
+@pytest.mark.parametrize("walked", [0, 60])
+def test_edit_distance_by_diagonals_equals_the_built_in_one(spark, monkeypatch, walked):
+    monkeypatch.setattr(line_dedup, "WALKED", walked)
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(600):
+        letters = list("ab" if rng.integers(2) else "abcdefg é😀")
+        x = list(rng.choice(letters, int(rng.choice([20, 33, 64, 300]))))
+        y = list(x)
+        for at in rng.integers(20, size=int(rng.integers(8))):
+            at = int(at) * len(x) // 20 % len(y)
+            y[at : at + int(rng.integers(2))] = list(rng.choice(letters, int(rng.integers(2))))
+        rows.append(("".join(x), "".join(y), int(rng.integers(1, 6))))
+    found = spark.createDataFrame(rows, "line_a string, line_b string, most int")
+    found = found.select(line_dedup._within("line_a", "line_b", F.col("most"), 5).alias("got"), (F.levenshtein("line_a", "line_b") <= F.col("most")).alias("want"))
+    counts = {(r.got, r.want): r["count"] for r in found.groupBy("got", "want").count().collect()}
+    assert set(counts) == {(True, True), (False, False)}
+
+
 @pytest.mark.parametrize("small", [1, 32])
 @pytest.mark.parametrize("edits", [2, 5])
 def test_line_dedup_with_more_edits_equals_brute_force(spark, monkeypatch, small, edits):
