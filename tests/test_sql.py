@@ -91,6 +91,15 @@ def test_group_frames_and_exclusions(engine, spark, bounds):
         assert [r[f"c{i}"] for r in got] == brute(distinct, low, high, e, f), (f, e)
 
 
+def test_windows_share_numbers_and_frames(engine, spark):
+    """Windows of one order are sorted for once, and no frame goes through all that follows for each row."""
+    spark.createDataFrame([(k, k % 3, k % 7) for k in range(40)], "k int, o int, v int").createOrReplaceTempView("shared_frames")
+    calls = [f"{f}(v) OVER (PARTITION BY o ORDER BY v GROUPS BETWEEN {b} EXCLUDE {x}) AS c{i}{j}{f}" for f in ("first_value", "min") for i, b in enumerate(("1 PRECEDING AND UNBOUNDED FOLLOWING", "UNBOUNDED PRECEDING AND CURRENT ROW")) for j, x in enumerate(("CURRENT ROW", "GROUP", "TIES", "NO OTHERS"))]
+    plan = engine.sql("SELECT k, " + ", ".join(calls) + " FROM shared_frames")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in x for x in plan.splitlines()) <= 6
+    assert plan.count("windowspecdefinition") <= 20 and "unboundedfollowing" not in plan
+
+
 def test_rows_and_range_frames_with_exclusions(engine, spark):
     spark.createDataFrame([(0, 5), (1, 3), (2, 9), (3, 2)], "o int, v int").createOrReplaceTempView("single")
     got = engine.sql("SELECT o, last_value(v) OVER (ORDER BY o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a, min(v) OVER (ORDER BY o RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS b FROM single")
