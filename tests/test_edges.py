@@ -236,3 +236,12 @@ def test_filters_reach_the_scan(spark):
     plan = Engine(spark, "/root/testdata/sf0.001").explain("SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400")
     assert "GreaterThanOrEqual(o_orderkey,100)" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
     assert shared_dir(spark)
+
+
+def test_postings_count_terms_inside_their_row(spark):
+    """Nothing is shuffled for postings; rows of one key stay apart, and rows without terms have none."""
+    rows = [(1, "b a b, b c"), (1, "c c a b b"), (2, "the"), (3, None), (4, ""), (5, "zebra")]
+    found = search.postings(spark.createDataFrame(rows, "k int, x string"), "k", "x", search.Analyzer(stop_words=False))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("a", 1, 5, 1), ("a", 1, 5, 1), ("b", 1, 5, 2), ("b", 1, 5, 3), ("c", 1, 5, 1), ("c", 1, 5, 2), ("the", 2, 1, 1), ("zebra", 5, 1, 1)]
+    assert sorted((r["term"], r["k"], r["dl"], r["tf"]) for r in found.collect()) == want
